@@ -22,6 +22,8 @@ PACKED = PIECES + ", sequence_id long, offset long"
 #: A block of the differencing: about so many tokens, and at most about so many pieces.
 BLOCK_TOKENS = 512 * CAPACITY
 BLOCK_PIECES = 16384
+#: A document's rest of over 4 * FILLER ids gives its last FILLER to 2 * FILLER - 1 ids as a piece of their own.
+FILLER = 64
 _MEMO = 200_000
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -80,7 +82,7 @@ class WordEncoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every document's ids plus end_id, cut into pieces of capacity ids and the rest. Only lengths and checksums leave the task."""
+    """Every document's ids plus end_id, cut into pieces of capacity ids and the rest, whose end is a small piece of its own. Only lengths and checksums leave the task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path)
@@ -90,7 +92,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(text.as_py() or "") + end
                 n = len(ids) // 4
-                rows += [(doc, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+                cuts = [*range(0, n, capacity), n]
+                if n % capacity > 4 * FILLER:  # the small last piece evens windows out
+                    cuts.insert(-1, n - FILLER - n * 7919 % FILLER)
+                rows += [(doc, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
