@@ -29,6 +29,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, joined
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -42,6 +49,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -70,6 +83,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_main_text
+
+    pages = extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chat
+
+    turns = format_chat(_table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "seq", "turn", "role", "action", F.array_join("inserted", ",").alias("inserted"), "cost", "rendered")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify, train
 
@@ -79,10 +106,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
 
