@@ -1,0 +1 @@
+"""Vessel-track quality, stop detection and laytime analytics as Spark DataFrame operators."""
