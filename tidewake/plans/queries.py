@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,36 +36,51 @@ def _query(sql: str | None):
     return register
 
 
+#: Stages kept for further queries of one session and one folder: like any cached table, only ever recomputed from the feed.
+_kept: dict[tuple, DataFrame] = {}
+
+
 class Feed:
-    """The stages of the derived feed, each built once per query."""
+    """The stages of the derived feed. The log, the flagged fixes and what is detected are persisted and shared by all queries of a session."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.lines = feed_lines(spark, sf_dir)
 
+    def _keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _kept:
+            _kept[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return _kept[key]
+
     def runs(self, ship_type: str | None = None) -> tuple[IngestResult, IngestResult]:
         one = ingest(self.lines.where("source_file = 'day1.csv'"), run_id=1, ship_type=ship_type)
-        two = ingest(self.lines.where("source_file = 'day2.csv'"), one.positions, one.vessels, run_id=2, ship_type=ship_type)
+        first = self._keep(f"day1-{ship_type}", lambda: one.positions)
+        two = ingest(self.lines.where("source_file = 'day2.csv'"), first, one.vessels, run_id=2, ship_type=ship_type)
         return one, two
 
     def log(self) -> DataFrame:
-        one, two = self.runs()
-        return one.positions.unionByName(two.positions)
+        def make():
+            one, two = self.runs()
+            return one.positions.unionByName(two.positions)
+
+        return self._keep("log", make)
 
     def vessels(self) -> DataFrame:
-        return self.runs()[1].vessels
+        return self._keep("vessels", lambda: self.runs()[1].vessels)
 
     def fixes(self) -> DataFrame:
-        return annotate(self.log())[0]
+        return self._keep("fixes", lambda: annotate(self.log())[0])
 
     def stops(self) -> DataFrame:
-        return detect_stops(self.fixes())
+        return self._keep("stops", lambda: detect_stops(self.fixes()))
 
     def ports(self) -> DataFrame:
         return gazetteer(self.spark, self.sf_dir)
 
     def calls(self) -> tuple[DataFrame, DataFrame]:
-        return C.chain_port_calls(self.stops(), self.ports())
+        calls, phases = C.chain_port_calls(self.stops(), self.ports())
+        return self._keep("calls", lambda: calls), self._keep("phases", lambda: phases)
 
 
 def _s(c: str):
