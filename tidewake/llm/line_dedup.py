@@ -110,8 +110,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lost = drops[0]
     for d in drops[1:]:
         lost = lost.unionByName(d)
-    lost = lost.groupBy("d", "r").agg(F.collect_set("pos").alias("_tw_lost"))
-    joined = own.join(lost.hint("shuffle_hash"), (F.col("_tw_id") == F.col("d")) & (F.col("_tw_row") == F.col("r")), "left")
+    lost = lost.groupBy(F.col("d").alias("_tw_d"), F.col("r").alias("_tw_r")).agg(F.collect_set("pos").alias("_tw_lost"))
+    joined = own.join(lost.hint("shuffle_hash"), (F.col("_tw_id") == F.col("_tw_d")) & (F.col("_tw_row") == F.col("_tw_r")), "left")
     parts = F.split("_tw_text", "\n")
     # what stays lies between the lost positions: linear, however many lines a document has
     begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_tw_sorted"), i - 1) + 1)
