@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,18 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, text_groups
 
 CAPACITY = 4096
 END_ID = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: A block of the differencing: about so many tokens, and at most about so many pieces.
-BLOCK_TOKENS = 512 * CAPACITY
+BLOCK_TOKENS = 256 * CAPACITY
 BLOCK_PIECES = 16384
 #: A document's rest of over 4 * FILLER ids gives its last FILLER to 2 * FILLER - 1 ids as a piece of their own.
 FILLER = 64
-_MEMO = 200_000
+_MEMO = 800_000
+#: At the end of a word these form a pre-token of their own.
+_MARKS = ".,;:!?$%&*#"
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
@@ -32,53 +35,80 @@ _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, with a memo by word.
 
-    The tokenizer's normalizer and pre-tokenizer never look across white space, so a text's ids are the ids
-    of its words in order. Words are memoised, and a new word is looked up by its lower-case pre-tokens first.
+    The tokenizer's normalizer and pre-tokenizer never look across white space, so a text's ids are the ids of its
+    words in order. A new word of ASCII letters, or of these and a mark at its end, is one or two pre-tokens in lower
+    case; such words are encoded many at once by the same model without normalizer or pattern, and parted again at
+    the tokens that end a word. All other words go through the tokenizer as it is.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if len(word) > 64 or not word.isascii() and not word.replace(",", "").replace(".", "").isalpha() or any(s in word for s in self.specials):
-            return self._ids(word)
-        # a run of letters is a pre-token of its own if no apostrophe stands near
-        pieces = [word] if "'" in word else re.findall(r"[^\W\d_]+|[^\w]+|_+|\d", word)
-        if len(pieces) > 1 and "".join(pieces) != word or "_" in word:
-            pieces = [word]
-        out = []
-        for p in pieces:
-            p = p.lower() if p.isascii() else p
-            got = self.parts.get(p)
-            if got is None:
-                if len(self.parts) >= _MEMO:
-                    self.parts.clear()
-                got = self.parts[p] = self._ids(p)
-            out.append(got)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        known = self.words
-        words = [w for w in _ASCII_SPACE.split(text) if w] if _RARE_SPACE.search(text) else text.split()
-        if len(words) > 4 * _MEMO:  # one giant text: only its distinct words are new
-            new = set(words) - known.keys()
-        else:
-            new = {w for w in words if w not in known}
+    def _letters(self, words: list[str], pieces: list[str], counts: list[int], tokenizer) -> None:
+        """Words of counts pre-tokens each, given apart in pieces; 128 words at once."""
+        stop = np.cumsum(counts)
+        for at in range(0, len(words), 128):
+            begin = int(stop[at - 1]) if at else 0
+            own, many = words[at : at + 128], stop[at : at + 128] - begin
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(pieces[begin : begin + int(many[-1])])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == many[-1]:
+                raw, cut = ids.tobytes(), [0, *(4 * ends[many - 1]).tolist()]
+                self.words.update(zip(own, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+            else:
+                self.words.update((w, self._ids(w)) for w in own)
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.words) + len(new) > _MEMO:
+            self.words.clear()
+        plain: tuple[list, list, list] = ([], [], [])
+        other: tuple[list, list, list] = ([], [], [])
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and len(w) <= 64:
+                if w.isascii():
+                    words, pieces, counts = plain
+                    pieces.append(core.lower())
+                else:
+                    words, pieces, counts = other
+                    pieces.append(core)
+                words.append(w)
+                if len(core) == len(w):
+                    counts.append(1)
+                else:
+                    counts.append(2)
+                    pieces.append(w[len(core) :])
+            else:
+                self.words[w] = self._ids(w)
+        if plain[0]:
+            self._letters(*plain, self.plain)
+        if other[0]:
+            self._letters(*other, self.tokenizer)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [[w for w in _ASCII_SPACE.split(t) if w] if _RARE_SPACE.search(t) else t.split() for t in texts]
+        new = set().union(*split) - self.words.keys()
         if new:
-            if len(known) + len(new) > _MEMO:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+            before = len(self.words)
+            self._learn(new)
+            if len(self.words) < before + len(new):  # the memo was emptied for the new words
+                self._learn(set().union(*split) - self.words.keys())
+        known = self.words
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -89,43 +119,61 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                cuts = [*range(0, n, capacity), n]
-                if n % capacity > 4 * FILLER:  # the small last piece evens windows out
-                    cuts.insert(-1, n - FILLER - n * 7919 % FILLER)
-                rows += [(doc, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:])]
+            for ids_of, texts in text_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
+                for doc, ids in zip(ids_of, encoder.encode_all(texts)):
+                    ids += end
+                    n = len(ids) // 4
+                    cuts = [*range(0, n, capacity), n]
+                    if n % capacity > 4 * FILLER:  # the small last piece evens windows out
+                        cuts.insert(-1, n - FILLER - n * 7919 % FILLER)
+                    rows += [(doc, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
 
 def difference(lengths: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp over k windows: the two partial partitions of largest imbalance merge, largest windows of one with smallest of the other.
+    """Karmarkar-Karp over k windows: the two partial partitions of largest imbalance merge, large windows of one with small of the other.
 
-    Returns k lists of indexes into lengths. A partial partition keeps only the windows it has filled.
+    Returns at most k lists of indexes into lengths. A partial partition keeps the sums of the windows it has filled,
+    largest first, and a node number for each; a node is an index into lengths or the union of two nodes.
     """
-    heap: list[tuple[int, int, list[int], list[list[int]]]] = []
-    for i, n in enumerate(lengths):
-        heap.append((-n if k > 1 else 0, i, [n], [[i]]))
+    n = len(lengths)
+    heap: list[tuple[int, int]] = [(-x, i) for i, x in enumerate(lengths)] if k > 1 else [(0, i) for i in range(n)]
     heapq.heapify(heap)
-    tick = len(lengths)
+    sums = {i: np.asarray([x]) for i, x in enumerate(lengths)}
+    nodes = {i: np.asarray([i]) for i in range(n)}
+    unions: list[np.ndarray] = []
+    made, tick = n, n
     while len(heap) > 1:
-        _, _, a, ma = heapq.heappop(heap)
-        _, _, b, mb = heapq.heappop(heap)
+        p, q = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        a, b, na, nb = sums.pop(p), sums.pop(q), nodes.pop(p), nodes.pop(q)
         # of k windows each, a descending and b ascending: what both have filled meets a's smallest and b's smallest
         over = max(0, len(a) + len(b) - k)
         tail, rest = len(a) - over, len(b) - over
-        sums = a[:tail] + [x + y for x, y in zip(a[tail:], b[::-1][:over])] + b[:rest]
-        members = ma[:tail] + [x + y for x, y in zip(ma[tail:], mb[::-1][:over])] + mb[:rest]
-        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
-        sums, members = [sums[i] for i in order], [members[i] for i in order]
-        imbalance = sums[0] - (sums[-1] if len(sums) == k else 0)
-        heapq.heappush(heap, (-imbalance, tick, sums, members))
+        if over:
+            unions.append(np.stack([na[tail:], nb[::-1][:over]], 1))
+            s = np.concatenate([a[:tail], a[tail:] + b[::-1][:over], b[:rest]])
+            m = np.concatenate([na[:tail], np.arange(made, made + over), nb[:rest]])
+            made += over
+        else:
+            s, m = np.concatenate([a, b]), np.concatenate([na, nb])
+        order = np.argsort(-s, kind="stable")
+        sums[tick], nodes[tick] = s[order], m[order]
+        heapq.heappush(heap, (-int(s[order[0]] - (s[order[-1]] if len(s) == k else 0)), tick))
         tick += 1
-    members = heap[0][3] if heap else []
-    return members + [[] for _ in range(k - len(members))]
+    parts = np.concatenate(unions).tolist() if unions else []
+    out = []
+    for root in nodes[heap[0][1]].tolist() if heap else []:
+        open_, own = [root], []
+        while open_:
+            x = open_.pop()
+            if x < n:
+                own.append(x)
+            else:
+                open_ += parts[x - n]
+        out.append(sorted(own))
+    return out
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
