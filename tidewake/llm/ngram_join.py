@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -125,6 +126,48 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+def _block_links(n: int, num: int, den: int):
+    """Links of a block's texts (left) with the texts that share a signature with one of them (right), as a spanning forest."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        memo = _Words()
+        sets = [shingles(t, n, memo) for t in left["text"]]
+        sizes = np.asarray([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        keys, begin, many = np.unique(flat[order], return_index=True, return_counts=True)
+        owner = owner[order]
+        names = left["d"].tolist()
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for d, text in zip(right["d"].tolist(), right["text"]):
+            s = shingles(text, n, memo)
+            if not len(s) or not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            at = at[keys[at] == s]
+            width = many[at]
+            total = int(width.sum())
+            spots = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(total) if total else np.zeros(0, np.int64)
+            common = np.bincount(owner[spots], minlength=len(sets))
+            for i in np.flatnonzero((common > 0) & (den * common >= num * (sizes + len(s) - common))):
+                a, b = find(names[i]), find(d)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(names[i], d), max(names[i], d)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """(node, label): the smallest node reachable over edges (a, b), by label spreading with pointer jumping; only nodes that have edges."""
     both = space.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
@@ -140,14 +183,17 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
         labels = step
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, most_pairs: int = 4) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, rounds: int = 2, block: int = 200, group: int = 2000) -> DataFrame:
     """One row per document: id, n_shingles (long) and component_id, the smallest id reachable by links of Jaccard >= num/den.
 
     Documents with equal sets form a class, and only its smallest id goes on. Signatures shared by two classes or more
-    give candidates, but never all pairs of a signature: in each round every signature takes the member that shares
-    most with others as a hub, all members of other components are verified against it, and the hub leaves. So a group
-    of near copies costs as many pairs as it has members. When the pairs left are at most most_pairs times the rows,
-    they are all verified. Verification recomputes both whole sets, so a link is exact and none is lost.
+    give candidates, but never all pairs of a signature. In each of `rounds` rounds every signature takes a hub (first
+    the member that shares most with others, then one by hash); the members of other components are verified against
+    it, and the hub leaves. So a group of near copies costs as many pairs as it has members. What is then left in
+    signatures of several components is verified in blocks: of each signature all but its largest component are queries,
+    `block` of them at once, against all that share a signature with them, `group` at once, by an inverted index over
+    the block's sets. Only a spanning forest of the links comes out. Every candidate pair of two components meets in one
+    of these ways and every verification recomputes both whole sets, so a link is exact and none is lost.
 
     Without words (or with a null text) a document has 0 shingles and links with nothing. Rows of one id count as one
     document for links and give a row each. Null ids link with nothing and get a null component. num/den over 1/2.
@@ -163,49 +209,53 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # an id with several texts ties their classes together
     named = member.where("rep IS NOT NULL").groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all"))
     ties = named.where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b")
-    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", "n", F.explode("sigs").alias("sig"))
-    shared = own.groupBy("sig").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("sig", "c")
-    live = space.save(own.join(shared, "sig").distinct(), "live")
-    score = live.groupBy("d").agg(F.sum("c").alias("score"))
-    live = live.drop("c").join(score, "d")
-    live = space.save(live.withColumn("label", F.col("d")), "scored")
+    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", F.explode("sigs").alias("sig"))
+    # one shuffle of ids and signatures; what only one class signs is gone after it. A signature has at most a row of each class
+    live = space.save(own.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").distinct(), "live")
+    sizes = signed.groupBy("d").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    score = space.save(live.groupBy("d").agg(F.sum("c").alias("score")).join(sizes, "d"), "scores")
+    live = space.save(live.drop("c").join(score, "d").withColumn("label", F.col("d")), "scored")
+    # texts of documents that share a signature: shuffled once, whatever is verified later
+    texts = space.save(source.join(score.select("d"), "d", "left_semi"), "texts")
     links = space.save(ties.select("a", "b"), "ties")
-    alike = F.lit(den) * F.least("an", "bn") >= F.lit(num) * F.greatest("an", "bn")
     tried: DataFrame | None = None
-    while True:
-        groups = live.groupBy("sig").agg(F.count("*").alias("c"), F.countDistinct("label").alias("labels"), F.max(F.struct("score", F.negative("d").alias("m"), "label", "n")).alias("hub")).where("labels > 1")
-        groups = space.save(groups.select("sig", "c", F.negative("hub.m").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.n").alias("hub_n")), "groups")
-        left = groups.agg(F.sum(F.expr("c * (c - 1) / 2")).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not left["rows"]:
-            break
-        last = left["pairs"] <= most_pairs * left["rows"]
-        if last:
-            x = live.join(groups.select("sig"), "sig")
-            y = x.select("sig", F.col("d").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-            pairs = x.select("sig", F.col("d").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")).join(y, "sig").where("a < b AND al <> bl")
-        else:
-            x = live.join(groups, "sig").where("d <> hub")
-            pairs = x.where("label <> hub_label").select(F.col("hub").alias("a"), F.col("hub_n").alias("an"), F.col("d").alias("b"), F.col("n").alias("bn"))
-        pairs = pairs.where(alike).select("a", "b").distinct()
+    for r in range(rounds):
+        rank = F.col("score") if r == 0 else F.xxhash64("sig", "d")
+        groups = live.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), F.negative("d").alias("m"), "label", "least", "most")).alias("hub")).where("lo < hi")
+        groups = groups.select("sig", F.negative("hub.m").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.least").alias("hub_least"), F.col("hub.most").alias("hub_most"))
+        rest = space.save(live.join(groups, "sig").where("d <> hub"), "rest")
+        alike = (den * F.col("most") >= num * F.col("hub_least")) & (den * F.col("hub_most") >= num * F.col("least"))
+        pairs = rest.where((F.col("label") != F.col("hub_label")) & alike).select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = space.save(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
         # of an id with several texts, every text is tried
-        texts = space.save(source.join(wanted, "d", "left_semi"), "texts")
         full = pairs.join(texts.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
         found = space.save(full.select("a", "b", "ta", "tb").mapInArrow(_verify(n, num, den), "a long, b long"), "found")
-        space.drop(texts)
-        links = space.save(links.union(found), "all-links")
-        if last:
-            break
+        links = links.union(found)
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.union(both)
-        labels = components(links, space)
-        rest = live.drop("label").join(groups.select("sig", "hub"), "sig").where("d <> hub").drop("hub")
-        again = space.save(rest.join(labels.withColumnRenamed("node", "d"), "d", "left").withColumn("label", F.coalesce("label", "d")), "live")
+        labels = components(links, space).withColumnRenamed("node", "d")
+        again = space.save(rest.select("sig", "d", "score", "least", "most").join(labels, "d", "left").withColumn("label", F.coalesce("label", "d")), "live")
         space.drop(live)
+        space.drop(rest)
         live = again
+
+    sizes = live.groupBy("sig", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("sig").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", F.negative("label"))).alias("large")).where("labels > 1")
+    left = space.save(live.join(mixed.select("sig", "large"), "sig"), "left")
+    # queries whose signatures lie with the same large component are one family: they ask the same documents
+    queries = left.where("label <> large").groupBy("d").agg(F.min("large").alias("family"))
+    counts = queries.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    queries = space.save(queries.join(counts, "family").select("d", "family", F.pmod(F.xxhash64("d"), F.col("blocks")).alias("no")), "queries")
+    asked = left.where("label <> large").select("sig", "d").join(queries, "d").select("sig", "family", "no").distinct()
+    against = space.save(left.select("sig", "d").join(asked, "sig").select("family", "no", "d").distinct(), "against")
+    salts = against.groupBy("family", "no").agg(F.ceil(F.count("*") / group).alias("salts"))
+    # toDF: both sides read the same table
+    x = queries.join(salts, ["family", "no"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(texts, "d").select("family", "no", "salt", "d", "text").toDF("family", "no", "salt", "d", "text")
+    y = against.join(salts, ["family", "no"]).withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts"))).join(texts, "d").select("family", "no", "salt", "d", "text").toDF("family", "no", "salt", "d", "text")
+    key = ["family", "no", "salt"]
+    links = links.union(space.save(x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(_block_links(n, num, den), "a long, b long"), "block-links"))
     labels = components(links, space)
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("d").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep", "d").alias("component_id"))
+    return out.select(F.col("d").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("label", "rep", "d")).alias("component_id"))
