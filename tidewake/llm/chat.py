@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,37 @@ def repair(roles: list[int | None], begin: int, end: int) -> list[tuple[int, str
     return out
 
 
+def _by_key(df: DataFrame, keys: list[str], order: list[str], handle: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """handle(key, rows in order) for each key: dealt by key, sorted, and read as a stream, so that small groups cost no call of their own."""
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        rows: list[tuple] = []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[: len(keys)] != key:
+                    if rows:
+                        out += handle(key, rows)
+                    key, rows = row[: len(keys)], []
+                rows.append(row[len(keys) :])
+            if out:
+                yield batch_of(out)
+        if rows:
+            yield batch_of(handle(key, rows))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def format_chat(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """One row per turn: conv_id, seq, turn, role, action, inserted (roles of empty turns before it), cost and rendered.
 
@@ -104,53 +137,44 @@ def format_chat(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     src = space.save(src.withColumn("seq", F.row_number().over(w).cast("long") - 1), "turns").withColumn("seg", F.floor(F.col("seq") / segment))
     conv_type = src.schema["conv_id"].dataType.simpleString()
 
-    def costs(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        m = segment_costs([_role(r) for r in pdf["role"]])
-        return pd.DataFrame({"conv_id": [key[0]], "seg": [key[1]], "m": [m.ravel().tolist()]})
+    def costs(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(*key, segment_costs([_role(r[1]) for r in rows]).ravel().tolist())]
 
-    def borders(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        ms = [np.asarray(m).reshape(4, 4) for m in pdf["m"]]
+    def borders(key: tuple, rows: list[tuple]) -> list[tuple]:
+        ms = [np.asarray(m).reshape(4, 4) for _, m in rows]
         after = [np.asarray([INSERT * len(ending(s)) for s in range(4)])]
         for m in reversed(ms):
             after.append((m + after[-1][None, :]).min(axis=1))
         after.reverse()
-        state, states = START, [START]
+        states = [START]
         for i, m in enumerate(ms):
-            state = int(np.argmin(m[state] + after[i + 1]))
-            states.append(state)
-        return pd.DataFrame({"conv_id": pdf["conv_id"].tolist(), "seg": pdf["seg"].tolist(), "begin": states[:-1], "end": states[1:], "last": [i == len(ms) - 1 for i in range(len(ms))]})
-
-    def repaired(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        begin, end, last = int(pdf["begin"][0]), int(pdf["end"][0]), bool(pdf["last"][0])
-        open_ = begin != START
-        rows = []
-        state = begin
-        for (role, action, ins), t in zip(repair([_role(r) for r in pdf["role"]], begin, end), pdf.itertuples()):
-            out = ""
+            states.append(int(np.argmin(m[states[-1]] + after[i + 1])))
+        return [(*key, rows[i][0], states[i], states[i + 1], i == len(ms) - 1) for i in range(len(ms))]
+
+    def repaired(key: tuple, rows: list[tuple]) -> list[tuple]:
+        begin, end, last = rows[0][4], rows[0][5], rows[0][6]
+        open_, state = begin != START, begin
+        out: list[list] = []
+        for (role, action, ins), (seq, turn, _, text, *_rest) in zip(repair([_role(r[2]) for r in rows], begin, end), rows):
+            piece = ""
             for r in ins:
-                out += ("\n<|end|>\n" if open_ else "") + f"<|{NAMES[r]}|>\n"
+                piece += ("\n<|end|>\n" if open_ else "") + f"<|{NAMES[r]}|>\n"
                 open_ = True
-            if action == "merge":
-                out += "\n" + t.text
-            else:
-                out += ("\n<|end|>\n" if open_ else "") + f"<|{NAMES[role]}|>\n" + t.text
+            piece += "\n" + text if action == "merge" else ("\n<|end|>\n" if open_ else "") + f"<|{NAMES[role]}|>\n" + text
             open_, state = True, role
             cost = {"keep": 0.0, "merge": MERGE, "relabel": RELABEL, "insert": INSERT * len(ins)}[action]
-            rows.append([key[0], t.seq, t.turn, NAMES[role], action, [NAMES[r] for r in ins], cost, out])
+            out.append([key[0], seq, turn, NAMES[role], action, [NAMES[r] for r in ins], cost, piece])
         if last:
             for r in ending(state):
-                rows[-1][7] += f"\n<|end|>\n<|{NAMES[r]}|>\n"
-                rows[-1][6] += INSERT
-                rows[-1][5] = [*rows[-1][5], NAMES[r]]
-            rows[-1][7] += "\n<|end|>\n"
-        out = pd.DataFrame(rows, columns=["conv_id", "seq", "turn", "role", "action", "inserted", "cost", "rendered"])
-        out["turn"] = out["turn"].astype("Int64")
-        return out
-
-    matrices = src.select("conv_id", "seq", "seg", "role").groupBy("conv_id", "seg").applyInPandas(costs, f"conv_id {conv_type}, seg long, m array<double>")
-    edges = space.save(matrices.groupBy("conv_id").applyInPandas(borders, f"conv_id {conv_type}, seg long, begin int, end int, last boolean"), "borders")
-    full = src.join(edges.withColumnsRenamed({"conv_id": "_c", "seg": "_s"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("seg") == F.col("_s"))).drop("_c", "_s")
-    return full.groupBy("conv_id", "seg").applyInPandas(repaired, f"conv_id {conv_type}, seq long, turn long, role string, action string, inserted array<string>, cost double, rendered string")
+                out[-1][7] += f"\n<|end|>\n<|{NAMES[r]}|>\n"
+                out[-1][6] += INSERT
+                out[-1][5] = [*out[-1][5], NAMES[r]]
+            out[-1][7] += "\n<|end|>\n"
+        return [tuple(x) for x in out]
+
+    seg_key = ["conv_id", "seg"]
+    matrices = _by_key(src.select("conv_id", "seg", "seq", "role"), seg_key, ["seq"], costs, f"conv_id {conv_type}, seg long, m array<double>")
+    edges = space.save(_by_key(matrices, ["conv_id"], ["seg"], borders, f"conv_id {conv_type}, seg long, begin int, end int, last boolean"), "borders")
+    edges = edges.withColumnsRenamed({"conv_id": "_c", "seg": "_s"})
+    full = src.join(edges, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("seg") == F.col("_s"))).select("conv_id", "seg", "seq", "turn", "role", "text", "begin", "end", "last")
+    return _by_key(full, seg_key, ["seq"], repaired, f"conv_id {conv_type}, seq long, turn long, role string, action string, inserted array<string>, cost double, rendered string")
