@@ -102,7 +102,7 @@ WITH ev AS (
 ), judged AS (
   SELECT *, CASE WHEN status IN ('At anchor', 'Moored', 'Aground') THEN 'Stationary' WHEN status IN ('Under way using engine', 'Constrained by her draught') THEN 'UnderWay' ELSE 'Unknown' END AS activity,
     CASE WHEN failure IS NOT NULL THEN 'R1' WHEN lat = 91 THEN 'R4' WHEN sog > 40 THEN 'R6' END AS reject,
-    failure IS NULL AND sog IS NULL AS r5, failure IS NULL AND sog >= 30 AND sog <= 40 AS r6, failure IS NULL AND status IN ('At anchor', 'Moored', 'Aground') AND sog > 3.0 AS r12, failure IS NULL AND eta - ts > 5184000 AS r13
+    failure IS NULL AND sog IS NULL AS r5, failure IS NULL AND sog >= 30 AND sog <= 40 AS r6, coalesce(failure IS NULL AND status IN ('At anchor', 'Moored', 'Aground') AND sog > 3.0, false) AS r12, failure IS NULL AND eta - ts > 5184000 AS r13
   FROM lines
 ), log AS (
   SELECT * EXCLUDE (nth), CASE WHEN source_file = 'day1.csv' THEN 1 ELSE 2 END AS run FROM (

@@ -406,7 +406,7 @@ def feed_window(spark, sf_dir):
     return L.feed_window(Feed(spark, sf_dir).vessels()).select(_s("from_utc").alias("from_s"), _s("to_utc").alias("to_s"))
 
 
-_FLEET = """, recent AS (SELECT f.*, s.started AS st, s.agrees AS ag FROM fixes f LEFT JOIN stops s ON s.mmsi = f.mmsi AND f.ts BETWEEN s.started AND s.ended WHERE f.ts <= 1704099600 AND f.ts >= 1704099600 - 3600),
+_FLEET = """, recent AS (SELECT f.*, s.started AS st, s.agrees AS ag FROM fixes f LEFT JOIN stops s ON s.mmsi = f.mmsi AND f.ts BETWEEN s.started AND s.ended WHERE f.ts <= 1704088800 AND f.ts >= 1704088800 - 3600),
   newest AS (SELECT mmsi, max(ts) AS heard, arg_max(st, ts) AS st, arg_max(ag, ts) AS ag, arg_max(CASE WHEN r12 THEN 1 ELSE 0 END, ts) AS r12, count(st) AS any_st, arg_max(CASE WHEN st IS NULL THEN 0 ELSE 1 END, ts) AS in_st FROM recent GROUP BY mmsi),
   fleet AS (SELECT r.mmsi, any_value(n.heard) AS heard, arg_max(r.lat, r.ts) AS lat, arg_max(r.lon, r.ts) AS lon, count(*) AS trail, CASE WHEN any_value(n.in_st) = 1 AND NOT any_value(n.ag) THEN 'StoppedClaimingUnderWay' WHEN any_value(n.in_st) = 1 THEN 'Stopped' WHEN any_value(n.r12) = 1 THEN 'MovingClaimingStationary' ELSE 'Moving' END AS state
     FROM recent r JOIN newest n ON n.mmsi = r.mmsi WHERE r.reliable AND r.ts >= n.heard - 3600 GROUP BY r.mmsi HAVING any_value(n.heard) >= (SELECT max(ts) FROM recent) - 1800)"""
@@ -414,7 +414,7 @@ _FLEET = """, recent AS (SELECT f.*, s.started AS st, s.agrees AS ag FROM fixes
 
 def _fleet(spark, sf_dir) -> DataFrame:
     f = Feed(spark, sf_dir)
-    return fleet_state(f.fixes(), f.stops(), f.vessels(), "2024-01-01 09:00:00")
+    return fleet_state(f.fixes(), f.stops(), f.vessels(), "2024-01-01 06:00:00")
 
 
 @_query(_FLEET + " SELECT mmsi, lat, lon, state, trail, heard AS heard_s FROM fleet")
