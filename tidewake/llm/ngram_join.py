@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: The first round of hubs takes one signature in so many; near copies share enough of them to meet there.
+FIRST = 8
 #: A signature stands for at least so many shingles wherever the guarantee allows it.
 STRONG = 3
 _MEMO = 200_000
@@ -189,8 +191,9 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Documents with equal sets form a class, and only its smallest id goes on. Signatures shared by two classes or more
     give candidates, but never all pairs of a signature. In each of `rounds` rounds every signature takes a hub (first
     the member that shares most with others, then one by hash); the members of other components are verified against
-    it, and the hub leaves. So a group of near copies costs as many pairs as it has members. What is then left in
-    signatures of several components is verified in blocks: of each signature all but its largest component are queries,
+    it, and the hub leaves. So a group of near copies costs as many pairs as it has members. The first of several rounds
+    looks at one signature in FIRST: it ties most groups of near copies together, and the next rounds, which look at
+    all signatures, find only one component in theirs. What is then left in signatures of several components is verified in blocks: of each signature all but its largest component are queries,
     `block` of them at once, against all that share a signature with them, `group` at once, by an inverted index over
     the block's sets. Only a spanning forest of the links comes out. Every candidate pair of two components meets in one
     of these ways and every verification recomputes both whole sets, so a link is exact and none is lost.
@@ -221,9 +224,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     tried: DataFrame | None = None
     for r in range(rounds):
         rank = F.col("score") if r == 0 else F.xxhash64("sig", "d")
-        groups = live.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), F.negative("d").alias("m"), "label", "least", "most")).alias("hub")).where("lo < hi")
+        now = F.pmod("sig", F.lit(FIRST)) == 0 if r == 0 and rounds > 1 else F.lit(True)
+        groups = live.where(now).groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), F.negative("d").alias("m"), "label", "least", "most")).alias("hub")).where("lo < hi")
         groups = groups.select("sig", F.negative("hub.m").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.least").alias("hub_least"), F.col("hub.most").alias("hub_most"))
-        rest = space.save(live.join(groups, "sig").where("d <> hub"), "rest")
+        rest = space.save(live.where(now).join(groups, "sig").where("d <> hub"), "rest")
         alike = (den * F.col("most") >= num * F.col("hub_least")) & (den * F.col("hub_most") >= num * F.col("least"))
         pairs = rest.where((F.col("label") != F.col("hub_label")) & alike).select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
         if tried is not None:
@@ -236,7 +240,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.union(both)
         labels = components(links, space).withColumnRenamed("node", "d")
-        again = space.save(rest.select("sig", "d", "score", "least", "most").join(labels, "d", "left").withColumn("label", F.coalesce("label", "d")), "live")
+        left = rest.select("sig", "d", "score", "least", "most").union(live.where(~now).select("sig", "d", "score", "least", "most"))
+        again = space.save(left.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d")), "live")
         space.drop(live)
         space.drop(rest)
         live = again
