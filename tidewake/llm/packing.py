@@ -26,8 +26,8 @@ BLOCK_PIECES = 16384
 #: A document's rest of over 4 * FILLER ids gives its last FILLER to 2 * FILLER - 1 ids as a piece of their own.
 FILLER = 64
 _MEMO = 800_000
-#: At the end of a word these form a pre-token of their own.
-_MARKS = ".,;:!?$%&*#"
+#: A line of letters that lower() maps one to one, with marks at its end; the letters and the marks are a pre-token each.
+_PLAIN = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([.,;:!?$%&*#]{0,8})$", re.MULTILINE)
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
@@ -36,9 +36,10 @@ class WordEncoder:
     """Ids of whole texts as little-endian bytes, with a memo by word.
 
     The tokenizer's normalizer and pre-tokenizer never look across white space, so a text's ids are the ids of its
-    words in order. A new word of ASCII letters, or of these and a mark at its end, is one or two pre-tokens in lower
-    case; such words are encoded many at once by the same model without normalizer or pattern, and parted again at
-    the tokens that end a word. All other words go through the tokenizer as it is.
+    words in order. A new word of ASCII or Latin-1 letters, or of these and marks at its end, is one or two pre-tokens:
+    its letters in lower case, which the memo may know already, and the marks. Letters that it does not know are
+    encoded many at once by the same model without normalizer or pattern, and parted again at the tokens that end a
+    word. All other words go through the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -58,46 +59,31 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str], pieces: list[str], counts: list[int], tokenizer) -> None:
-        """Words of counts pre-tokens each, given apart in pieces; 128 words at once."""
-        stop = np.cumsum(counts)
-        for at in range(0, len(words), 128):
-            begin = int(stop[at - 1]) if at else 0
-            own, many = words[at : at + 128], stop[at : at + 128] - begin
-            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(pieces[begin : begin + int(many[-1])])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == many[-1]:
-                raw, cut = ids.tobytes(), [0, *(4 * ends[many - 1]).tolist()]
-                self.words.update(zip(own, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+    def _letters(self, cores: list[str]) -> None:
+        """Lower-case words of letters, 128 at once."""
+        for at in range(0, len(cores), 128):
+            own = cores[at : at + 128]
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(own):
+                raw = ids.tobytes()
+                self.words.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends))))
             else:
                 self.words.update((w, self._ids(w)) for w in own)
 
     def _learn(self, new: set[str]) -> None:
         if len(self.words) + len(new) > _MEMO:
             self.words.clear()
-        plain: tuple[list, list, list] = ([], [], [])
-        other: tuple[list, list, list] = ([], [], [])
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and len(w) <= 64:
-                if w.isascii():
-                    words, pieces, counts = plain
-                    pieces.append(core.lower())
-                else:
-                    words, pieces, counts = other
-                    pieces.append(core)
-                words.append(w)
-                if len(core) == len(w):
-                    counts.append(1)
-                else:
-                    counts.append(2)
-                    pieces.append(w[len(core) :])
-            else:
-                self.words[w] = self._ids(w)
-        if plain[0]:
-            self._letters(*plain, self.plain)
-        if other[0]:
-            self._letters(*other, self.tokenizer)
+        found = _PLAIN.findall("\n".join(new))
+        words = list(map("".join, found))
+        known = self.words
+        if found:
+            cores = "\n".join([core for core, _ in found]).lower().split("\n")
+            self._letters(list(set(cores) - known.keys()))
+            marks = {m: self._ids(m) if m else b"" for m in {m for _, m in found}}
+            known.update(zip(words, [known[c] + marks[m] for c, (_, m) in zip(cores, found)]))
+        for w in new.difference(words):
+            known[w] = self._ids(w)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [[w for w in _ASCII_SPACE.split(t) if w] if _RARE_SPACE.search(t) else t.split() for t in texts]
@@ -111,11 +97,21 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which keeps its memo from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every document's ids plus end_id, cut into pieces of capacity ids and the rest, whose end is a small piece of its own. Only lengths and checksums leave the task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
