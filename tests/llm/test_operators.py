@@ -247,3 +247,14 @@ def test_chat_repair_is_cheapest(spark):
         said = re.findall(r"<\|(system|user|assistant)\|>", whole)
         assert all(b in {"system": ["user"], "user": ["assistant"], "assistant": ["user"]}[a] for a, b in zip(said, said[1:])) and said[-1] == "assistant"
         assert all(f"t{i}" in whole for i in range(len(rs)))
+
+
+def test_word_encoder_gives_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["", " \n", "Straße ÉTION, É. ÀÿŸ İx. ΣΑΣ, ªº µm. ÷× a×b it's don't x!!,, ABC$%& éa, 12a, ﬁx a\x85b", "a" * 64 + " " + "B" * 65 + ". x!!!!!!!!! y!!!!!!!!", "one One ONE, one. One!"]
+    whole = Tokenizer.from_file(tokenizer_path())
+    encoder = packing.WordEncoder(tokenizer_path())
+    want = [np.asarray(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode_all(texts) == want
+    assert encoder.encode_all(texts[::-1]) == want[::-1]  # from the memo
