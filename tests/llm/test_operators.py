@@ -225,6 +225,22 @@ def test_main_text(spark):
     assert all(got[10 + i] == f"Own text {i}" for i in range(8))
 
 
+def test_style_tree_decides_pages_with_an_article(spark):
+    rng = random.Random(11)
+    own = [prose(rng, 12) for _ in range(8)]
+    # repeated lines and a teaser stand in articles, the text beside them, and real sections have ids that sound like noise
+    marked = "<body><article class=teaser><p>Read this too</p></article><div class=post><h2 id='related-work'>Work {0}</h2><section id='social-history'><p>{1}</p></section></div>"
+    # an aside with nearly all the text, laid out anew on each page, stays against its name; a small one does not
+    aside = "<body><aside>{0}</aside><div class=ad>{1}</div>"
+    layouts = ["".join(f"<{t}>{own[i]} {j}</{t}>" for j, t in enumerate(["p"] * i + ["h2"] + ["p"] * 3)) for i in range(8)]
+    pages = [(i, "http://m.example/%d" % i, marked.format(i, own[i])) for i in range(8)] + [(20 + i, "http://n.example/%d" % i, aside.format(layouts[i], f"buy {i}")) for i in range(8)]
+    pages += [(40, "http://one.example/", marked.format(0, "alone"))]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Work {i}\n{own[i]}" for i in range(8))
+    assert all(got[20 + i].split("\n") == [f"{own[i]} {j}" for j in range(i + 4)] for i in range(8))
+    assert got[40] == "Read this too\nWork 0\nalone"  # one page of a host is no evidence: nothing is lost
+
+
 def test_chat_repair_is_cheapest(spark):
     rng = random.Random(10)
     roles = ["system", "user", "assistant", "tool", None]

@@ -27,22 +27,27 @@ BLOCK = frozenset("html head body address article aside blockquote center dd det
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open element of their own kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
-#: Elements that are never content, and words in class, id or role that say so.
-NO_CONTENT = frozenset("head nav footer aside form menu dialog search".split())
+#: Elements whose name speaks against content, and words in class or role, or whole ids of containers, that do so.
+NO_CONTENT = frozenset("nav footer aside form menu dialog search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_CONTENT_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar footer masthead topbar breadcrumb breadcrumbs pagination pager comment comments respond reply disqus cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar complementary contentinfo hidden".split()
 )
 
 
+#: Mark of a node that stays though its name speaks against it; importance under which a branch goes even inside an article.
+KEPT, IN_ARTICLE = 2.0, 0.1
+
+
 class _Tree:
-    """One pass over a page's markup: its text blocks, each with the style nodes above it."""
+    """One pass over a page's markup: its visible text blocks, each with the style nodes above it, and the order of the style nodes under each."""
 
-    __slots__ = ("blocks", "content")
+    __slots__ = ("blocks", "below")
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[tuple[str, ...], bool, bool, str]] = []  # path, in the article, dropped, text
-        self.content = False
-        stack: list[tuple[str, str, bool, bool]] = []  # tag, style, dropped, in the article
+        self.blocks: list[tuple[tuple[str, ...], tuple[bool, ...], bool, str]] = []  # path, which of its nodes are named as no content, in the article, text
+        self.below: dict[tuple[str, ...], xxhash.xxh3_64] = {}
+        stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, style, invisible, in the article, named as no content
         text: list[str] = []
         at = 0
 
@@ -51,9 +56,11 @@ class _Tree:
                 words = " ".join(html.unescape("".join(text)).split())
                 text.clear()
                 if words:
-                    inside = bool(stack) and stack[-1][3]
-                    gone = bool(stack) and stack[-1][2]
-                    self.blocks.append((tuple(s[1] for s in stack), inside, gone, words))
+                    if stack and stack[-1][2]:
+                        return
+                    path = tuple(s[1] for s in stack)
+                    self.below.setdefault(path, xxhash.xxh3_64()).update("\n#text")
+                    self.blocks.append((path, tuple(s[4] for s in stack), bool(stack) and stack[-1][3], words))
 
         for m in _TOKEN.finditer(page):
             if m.start() > at:
@@ -88,36 +95,50 @@ class _Tree:
                     stack.pop()
             attrs = m.group(4) or m.group(7) or ""
             up_gone, up_in = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-            style, gone = tag, up_gone
+            style, gone = tag, up_gone or tag == "head"
             words: list[str] = []
             if attrs and not attrs.isspace():
                 for a in _ATTR.finditer(attrs):
                     key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'").lower()
-                    if key in ("class", "id", "role"):
+                    if key in ("class", "role"):
                         words += _PART.findall(value)
-                        if key != "id":
-                            style += "." + value
+                        style += "." + value
+                    elif key == "id":
+                        if tag not in HEADINGS:
+                            words.append(value)
                     elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                         gone = True
-            if not gone:
-                gone = tag in NO_CONTENT or tag == "header" and not up_in or tag not in ("html", "body", "main", "article") and any(w in NO_CONTENT_WORDS for w in words) or tag == "article" and any(w in ("comment", "comments", "ad", "related", "promo") for w in words)
-            inside = up_in or not gone and (tag in ("article", "main") or "articlebody" in words)
-            self.content |= inside
-            stack.append((tag, style, gone, inside))
+            named = tag in NO_CONTENT or tag == "header" and not up_in or tag not in ("html", "body", "main", "article") and any(w in NO_CONTENT_WORDS for w in words) or tag == "article" and any(w in ("comment", "comments", "ad", "related", "promo") for w in words)
+            inside = up_in or not named and (tag in ("article", "main") or "articlebody" in words)
+            if stack and not gone:
+                self.below.setdefault(tuple(s[1] for s in stack), xxhash.xxh3_64()).update("\n" + style)
+            stack.append((tag, style, gone, inside, named))
         if at < len(page):
             text.append(page[at:])
         flush()
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    tree = _Tree(page or "")
+def main_text(page: str | None, tree_of_host: dict[int, float] | None = None) -> str:
+    """The blocks that the host's style tree keeps: node to its importance where that is low, or KEPT where a node stays against its name."""
+    known = tree_of_host or {}
+    memo: dict[tuple, bool] = {}
+
+    def gone(path: tuple[str, ...], named: tuple[bool, ...], inside: bool) -> bool:
+        for i in range(len(path)):
+            importance = known.get(_node(path[: i + 1])) if known else None
+            if named[i] and importance != KEPT:
+                return True
+            if importance is not None and importance != KEPT and (not inside or importance < IN_ARTICLE):
+                return True
+        return False
+
     out = []
-    for path, inside, gone, words in tree.blocks:
-        if gone or tree.content and not inside:
-            continue
-        if low and not inside and any(_node(path[: i + 1]) in low for i in range(len(path))):
-            continue
-        out.append(words)
+    for path, named, inside, words in _Tree(page or "").blocks:
+        key = (path, named, inside)
+        if key not in memo:
+            memo[key] = gone(*key)
+        if not memo[key]:
+            out.append(words)
     return "\n".join(out)
 
 
@@ -130,59 +151,81 @@ def host_of(url: Column) -> Column:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Style nodes of pages whose fate their looks alone do not settle, with a hash of each node's content."""
+    """Style nodes of every page: hashes of what each holds and of how it is laid out, and its share of the page's text. key: the text that no name speaks against, or all text where that is the lesser part."""
     for batch in batches:
-        hosts, nodes, contents = [], [], []
+        hosts: list = []
+        columns: list[list] = [[], [], [], [], []]
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             tree = _Tree(page.as_py() or "")
-            if tree.content:  # an article says where the content is
-                continue
-            below: dict[tuple[str, ...], xxhash.xxh3_64] = {}
-            for path, _, gone, words in tree.blocks:
-                for i in range(1, len(path)) if not gone else ():
-                    below.setdefault(path[: i + 1], xxhash.xxh3_64()).update(words + "\n")
+            below: dict[tuple[str, ...], list] = {}
+            own, whole, unnamed, total = xxhash.xxh3_64(), xxhash.xxh3_64(), 0, 0
+            for path, named, _, words in tree.blocks:
+                total += len(words)
+                whole.update(words + "\n")
+                if not any(named):
+                    unnamed += len(words)
+                    own.update(words + "\n")
+                for i in range(1, len(path)):
+                    node = below.setdefault(path[: i + 1], [xxhash.xxh3_64(), 0])
+                    node[0].update(words + "\n")
+                    node[1] += len(words)
+            key = (own if 2 * unnamed >= total else whole).intdigest() - (1 << 63)
             hosts += [host] * len(below)
-            nodes += [_node(p) for p in below]
-            contents += [h.intdigest() - (1 << 63) for h in below.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "node", "content"])
+            for path, (content, chars) in below.items():
+                for column, x in zip(columns, (_node(path), content.intdigest() - (1 << 63), tree.below[path].intdigest() - (1 << 63), key, chars / total)):
+                    column.append(x)
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["host", "node", "content", "layout", "key", "share"])
+
 
+def style_tree(pages: DataFrame, *, importance: float = 0.3, least_pages: int = 5, against_name: float = 0.85) -> DataFrame:
+    """(host, nodes): nodes of a host's merged tree that its pages decide, with their importance or KEPT.
 
-def style_tree(pages: DataFrame, *, importance: float = 0.3, least_pages: int = 5) -> DataFrame:
-    """(host, low): nodes of a host's merged tree whose importance falls under the bar.
+    A node stands for all elements of a host at one path of tags and classes. Its content entropy is that of what it
+    holds over the host's pages, its presentation entropy that of the sequence of elements in it, both with the number
+    of pages as base: 0 where every page has the same, 1 where no two have. A branch is low where both are under
+    `importance`. KEPT is a branch of both over `against_name` that holds half of the text of its pages.
 
-    A node stands for all elements of a host at one path of tags and classes. Its importance is the entropy of what it
-    holds over the host's pages, with the number of pages as base: 0 where every page has the same, 1 where no two
-    have. Counts are per (host, node, content) and built on the map side, so a host of any size is never one group.
+    Every page counts, but copies of one main text count once. Counts are per (host, node, value) and built on the map
+    side, so a host of any size is never one group.
     """
-    one = pages.dropDuplicates(["host", "key"])  # copies of a page are no evidence
-    nodes = one.select("host", "html").mapInArrow(_nodes, "host string, node long, content long")
-    shares = nodes.groupBy("host", "node", "content").agg(F.count("*").alias("c"))
-    stats = shares.groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    entropy = 1 - F.col("clogc") / (F.col("m") * F.log("m"))
-    low = stats.where((F.col("m") >= least_pages) & (entropy < importance))
-    return low.groupBy("host").agg(F.collect_list("node").alias("low"))
+    nodes = pages.mapInArrow(_nodes, "host string, node long, content long, layout long, key long, share double")
+    one = nodes.groupBy("host", "node", "key").agg(F.max_by(F.struct("content", "layout", "share"), F.struct("content", "layout")).alias("x"))
+    value = lambda kind, x, share: F.struct(F.lit(kind).alias("kind"), F.col(x).alias("value"), share.alias("share"))
+    values = one.select("host", "node", F.explode(F.array(value("c", "x.content", F.col("x.share")), value("l", "x.layout", F.lit(0.0)))).alias("v"))
+    shares = values.groupBy("host", "node", "v.kind", "v.value").agg(F.count("*").alias("c"), F.sum("v.share").alias("share"))
+    clogc = {k: F.sum(F.when(F.col("kind") == k, F.col("c") * F.log("c"))).alias(k) for k in "cl"}
+    stats = shares.groupBy("host", "node").agg(F.sum(F.when(F.col("kind") == "c", F.col("c"))).alias("m"), F.sum("share").alias("share"), *clogc.values()).where(F.col("m") >= F.lit(max(2, least_pages)))
+    content, layout = (1 - F.col(k) / (F.col("m") * F.log("m")) for k in "cl")
+    verdict = F.when((F.least(content, layout) >= against_name) & (F.col("share") >= 0.5 * F.col("m")), F.lit(KEPT)).when(F.greatest(content, layout) < importance, F.greatest(content, layout))
+    decided = stats.select("host", "node", verdict.alias("importance")).where("importance IS NOT NULL")
+    return decided.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("nodes"))
 
 
 def extract_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", importance: float = 0.3, least_pages: int = 5) -> DataFrame:
     """All columns of pages without the markup, plus text: the main text of each page.
 
-    What an element is by name, role or class decides first: an article keeps its blocks, navigation, adverts, forms and
-    comments go. Where a page marks no article, branches of low importance in its host's style tree go too. Pages of a
-    null url share the empty host; a null page has empty text; repeated rows are taken each; no rows give no rows.
+    The style tree of a page's host, built from all of the host's pages, decides every branch it has seen on least_pages
+    pages. Names, roles and classes are a prior: a branch named as navigation, advert, form or comments goes unless the
+    tree marks it KEPT, and a branch inside an article goes only where nearly all pages repeat it. An article vetoes
+    nothing beside it. Pages of a null url share the empty host; a null page has empty text; repeated rows are taken
+    each; no rows give no rows.
     """
     space = Workspace(pages.sparkSession, "style")
-    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    undecided = slim.where(~F.coalesce(F.lower(F.col("html")).rlike(r"<(article|main)\b|articlebody"), F.lit(True))).withColumn("key", F.xxhash64("html"))
-    low = space.save(style_tree(undecided, importance=importance, least_pages=least_pages), "low")
+    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where(F.col("html").isNotNull())
+    low = space.save(style_tree(slim, importance=importance, least_pages=least_pages), "tree")
     names = [c for c in pages.columns if c not in (html_col, "text", "_tw_low", "_tw_host")]
     joined = pages.withColumn("_tw_host", host_of(F.col(url_col)))
-    joined = joined.join(low.select(F.col("host").alias("_tw_host"), F.col("low").alias("_tw_low")), "_tw_host", "left").select(*[F.col(f"`{c}`") for c in names], F.col(html_col).alias("_tw_html"), "_tw_low")
+    joined = joined.join(low.select(F.col("host").alias("_tw_host"), F.col("nodes").alias("_tw_low")), "_tw_host", "left").select(*[F.col(f"`{c}`") for c in names], F.col(html_col).alias("_tw_html"), "_tw_low")
     k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lows = batch.column(k + 1)
-            texts = [main_text(page.as_py(), frozenset(lows[i].as_py() or ())) for i, page in enumerate(batch.column(k))]
+            texts = []
+            for i, page in enumerate(batch.column(k)):
+                nodes = lows[i].as_py() or ()
+                texts.append(main_text(page.as_py(), {x["node"]: x["importance"] for x in nodes}))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string())], names=[*names, "text"])
 
     from pyspark.sql.types import StringType, StructField, StructType
