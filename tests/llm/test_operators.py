@@ -177,6 +177,25 @@ def test_quality_rules_counts_and_fences(spark):
     assert quality_rules.apply_rules(frame(spark, [])).count() == 0
 
 
+def test_quality_fences_follow_the_source(spark):
+    rng = random.Random(12)
+    line = lambda: prose(rng, 6)
+
+    def text(lines, repeated):
+        return "\n".join([line() for _ in range(lines - repeated)] + ["one two"] * repeated)
+
+    def symbols(n):
+        return prose(rng, 120) + " #" * n
+
+    rows = [("poems", text(150, 0)) for _ in range(400)] + [("lyrics", text(150, rng.randint(20, 28))) for _ in range(400)] + [("code", symbols(rng.randint(55, 75))) for _ in range(400)]
+    odd = [("poems", text(150, 24)), ("lyrics", text(150, 24)), ("poems", symbols(50)), ("code", symbols(65)), ("poems", " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100)))]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows + odd)], "doc_id bigint, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs).collect()}
+    # 16 % repeated lines, or 7 % symbols, are normal in one source and not in the other; very short words are past the lower fence
+    assert [kept[len(rows) + i] for i in range(len(odd))] == [False, True, False, True, False]
+    assert np.mean([kept[i] for i in range(len(rows))]) > 0.98
+
+
 def test_pii_base_and_context(spark):
     base = ["mail a@b.c_d@e.f and x@y.zz.. q@w", "1.2.3.4.5 999.1.1.1 001.2.3.4", "4111 1111 1111 1111 or 4111-1111--1111 1111", "+1 (555) 123-45678 +44", "1" * 50_000, "a." * 20_000 + "@" + "b." * 20_000 + "c", "é 😀 u@v.ww 😀 8.8.8.8"]
     context = [f"my phone number +1 (555) 010-{i:04d} today" for i in range(12)] + ["my phone number 0171-22-33-44 today"]

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, WORD, Workspace
 
-#: Smoothed shares that are judged, and the least width that a fence stands off the upper quartile.
-METRICS = {"symbol_share": 0.08, "dup_line_share": 0.2, "repeat_share": 0.25, "word_length": 4.0}
+#: Rates that are judged: what is counted, out of what, and how many of it come at once (a window that repeats covers three words).
+METRICS = {"symbol_share": ("n_symbols", "word_chars", 1), "dup_line_share": ("n_dup_lines", "n_lines", 1), "repeat_share": ("n_repeat_words", "n_words", 3), "word_length": ("word_chars", "n_words", 1)}
+#: The metrics that have a fence below too; too few symbols or repeats are no fault.
+TWO_SIDED = ("word_length",)
 
 
 def _repeat_words(words: Column) -> list[tuple[str, Column]]:
@@ -55,36 +57,52 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _shares() -> dict[str, Column]:
-    return {
-        "symbol_share": F.col("n_symbols") / F.greatest(F.lit(1), "word_chars"),
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.lit(1), "n_lines"),
-        "repeat_share": F.col("n_repeat_words") / F.greatest(F.lit(1), "n_words"),
-        "word_length": F.col("word_chars") / F.greatest(F.lit(1), "n_words"),
-    }
+    return {m: F.col(n) / F.greatest(F.lit(1), d) for m, (n, d, _) in METRICS.items()}
 
 
-def thresholds(counts: DataFrame, *, k: int = 2000, fence: float = 3.0, least_docs: int = 200) -> DataFrame:
-    """(lang, source, top_<metric>): upper fences, the upper quartile plus `fence` times the quartile distance or the metric's least width.
+def thresholds(counts: DataFrame, *, k: int = 2000, fence: float = 3.0, least_docs: int = 200, tail: float = 0.85) -> DataFrame:
+    """(lang, source, top_<metric>, low_<metric> of two-sided ones): fences `fence` times as far past a tail quantile as that is from the median.
 
-    Each (lang, source) has a sketch of each metric, built on the map side first. Sketches merge upwards: a group of
-    under least_docs documents takes its language's merged sketch, and a language of as few takes that of all.
+    Each (lang, source) has a sketch of each metric, built on the map side first; sketches merge upwards to languages
+    and to all. A group's own fence counts by its share of least_docs documents, the rest is its language's, and so on
+    upwards: a thin group moves smoothly from its language's level to its own.
     """
     shares = counts.where(~F.col("base_failed")).select("lang", "source", *[c.alias(m) for m, c in _shares().items()])
     fine = shares.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(m), F.lit(k)).alias(m) for m in METRICS])
     by_lang = fine.groupBy(F.col("lang").alias("lang1")).agg(F.sum("n").alias("n1"), *[F.kll_merge_agg_double(F.col(m), F.lit(k)).alias(f"{m}_1") for m in METRICS])
     by_all = fine.agg(F.sum("n").alias("n0"), *[F.kll_merge_agg_double(F.col(m), F.lit(k)).alias(f"{m}_0") for m in METRICS])
-    tops = []
-    for m, width in METRICS.items():
-        sketch = F.when(F.col("n") >= least_docs, F.col(m)).when(F.col("n1") >= least_docs, F.col(f"{m}_1")).otherwise(F.col(f"{m}_0"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        tops.append((high + F.greatest(F.lit(width), fence * (high - low))).alias(f"top_{m}"))
+
+    def fenced(sketch: str, q: float) -> Column:
+        end, middle = (F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(x)) for x in (q, 0.5))
+        return end + fence * (end - middle)
+
+    def own(n: str) -> Column:
+        return F.least(F.lit(1.0), F.col(n) / least_docs)
+
+    def blended(m: str, q: float) -> Column:
+        lang = own("n1") * fenced(f"{m}_1", q) + (1 - own("n1")) * fenced(f"{m}_0", q)
+        return F.greatest(F.lit(0.0), own("n") * fenced(m, q) + (1 - own("n")) * lang)
+
     # by_all is one row
     joined = fine.join(by_lang, F.col("lang").eqNullSafe(F.col("lang1"))).crossJoin(F.broadcast(by_all))
-    return joined.select("lang", "source", *tops)
+    return joined.select("lang", "source", *[blended(m, tail).alias(f"top_{m}") for m in METRICS], *[blended(m, 1 - tail).alias(f"low_{m}") for m in TWO_SIDED])
+
+
+def _past(m: str, fence: float) -> Column:
+    """Whether a count is past its fence by more than chance: outside the score interval, `fence` deviations wide, of a Poisson count at the fence's rate. So the width follows from the document's size."""
+    n, d, unit = METRICS[m]
+    seen, half = F.col(n) / unit, fence * fence / 2
+
+    def bound(rate: str, sign: int) -> Column:
+        expected = F.col(rate) * F.greatest(F.lit(1), d) / unit
+        return expected + half + sign * fence * F.sqrt(expected + half / 2)
+
+    out = F.coalesce(seen > bound(f"top_{m}", 1), F.lit(False))
+    return out | F.coalesce(seen < bound(f"low_{m}", -1), F.lit(False)) if m in TWO_SIDED else out
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 50, **options) -> DataFrame:
-    """Counts, base_failed and kept of every document; kept is false past any fence of its language and source.
+def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 50, fence: float = 3.0, **options) -> DataFrame:
+    """Counts, base_failed and kept of every document; kept is false where it is past a fence of its language and source by more than chance.
 
     A null text counts as none: no words, so it fails the base rule. Null languages and sources form groups of their
     own. Repeated rows and null ids are judged row by row. Documents that fail the base rule play no part in the
@@ -93,9 +111,9 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     space = Workspace(docs.sparkSession, "rules")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = space.save(measure(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col).withColumn("base_failed", failed), "counts")
-    tops = space.save(thresholds(counts, **options).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "thresholds")
+    tops = space.save(thresholds(counts, fence=fence, **options).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "thresholds")
     judged = counts.join(tops, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     past = F.lit(False)
-    for m, share in _shares().items():
-        past = past | F.coalesce(share > F.col(f"top_{m}"), F.lit(False))
+    for m in METRICS:
+        past = past | _past(m, fence)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~past).alias("kept"))
