@@ -236,6 +236,12 @@ def call_counts(spark, sf_dir):
     return R.call_counts(f.calls()[0], f.vessels().where("mmsi % 3 = 0"))
 
 
+@_query("SELECT mmsi, count(*) AS calls FROM calls GROUP BY mmsi")
+def call_counts_all(spark, sf_dir):
+    """Of all vessels; call_counts above is the lookup by keys."""
+    return R.call_counts(Feed(spark, sf_dir).calls()[0])
+
+
 _BINS = ", bins AS (SELECT CAST(trunc((eta - ts) / 86400.0) AS BIGINT) AS d, count(*) AS c FROM log WHERE eta IS NOT NULL GROUP BY 1)"
 
 
