@@ -13,3 +13,10 @@ def test_call_counts_of_all_vessels_and_by_keys(spark):
     assert rows(R.call_counts(calls, spark.createDataFrame([(3,), (3,), (9,)], "mmsi bigint"))) == [(3, 3)]
     counted = {r["mmsi"]: r["calls"] for r in Q.QUERIES["call_counts_all"](spark, SF).collect()}
     assert any(m % 3 for m in counted) and sum(counted.values()) == Q.Feed(spark, SF).calls()[0].count()
+
+
+def test_eta_empty_bands_are_those_of_all_bins(spark):
+    assert "eta_empty_bands_all" in Q.QUERIES and "%" not in Q.ORACLE_SQL["eta_empty_bands_all"].rpartition("FROM bins")[2]
+    bins = spark.createDataFrame([(d, 1) for d in [-3, 8, 13, 14, 22, 29, 37]], "days_ahead bigint, fixes bigint")
+    # the longest runs without a fix only, and days 13, 14 and 37 count like any
+    assert sorted(map(tuple, R.eta_empty_bands(bins).collect())) == [(0, 7), (15, 21), (30, 36)]

@@ -256,6 +256,12 @@ def eta_empty_bands(spark, sf_dir):
     return R.eta_empty_bands(R.eta_bins(Feed(spark, sf_dir).log()).where("days_ahead % 20 < 12"))
 
 
+@_query(_BINS + " SELECT p + 1 AS from_days, d - 1 AS to_days FROM (SELECT d, coalesce(lag(d) OVER (ORDER BY d), -1) AS p FROM bins WHERE d >= 0) WHERE d - p >= 8")
+def eta_empty_bands_all(spark, sf_dir):
+    """On all bins of the feed; eta_empty_bands above makes gaps of its own."""
+    return R.eta_empty_bands(R.eta_bins(Feed(spark, sf_dir).log()))
+
+
 @_query(_BINS + " SELECT sum(c) AS fixes_with_eta, coalesce(sum(c) FILTER (d < 0), 0) AS fixes_past, sum(c) FILTER (d BETWEEN 0 AND 60) AS near_term, sum(c) FILTER (d > 60) AS beyond FROM bins")
 def eta_summary(spark, sf_dir):
     return R.eta_horizon(Feed(spark, sf_dir).log())[2].select("fixes_with_eta", "fixes_past", "near_term", "beyond")
