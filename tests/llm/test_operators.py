@@ -208,6 +208,13 @@ def test_pii_base_and_context(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_without_digits(spark):
+    names = "anna ben carla dora emil fritz gerd hanna ines jan kurt lena".split()
+    texts = [f"please write to {x}@example.org today" for x in names] + ["please  write to anna(at)example.org, today", "we write to 0171-22 today", "no write here"]
+    got = {r["doc_id"]: r["s"] for r in pii.find_pii(frame(spark, texts)).select("doc_id", pii.joined("spans").alias("s")).collect()}
+    assert got[0] == "email:16:32" and got[12] == "id:17:37" and got[13] == "id:12:19" and got[14] == ""
+
+
 def test_quality_classifier_learns(spark):
     rng = random.Random(8)
     good, bad = [prose(rng, 60) for _ in range(150)], [prose(rng, 60).upper().replace(" ", "!! ") for _ in range(60)]

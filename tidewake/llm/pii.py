@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Workspace
+from .common import SPACE, WORD, Workspace
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -18,8 +18,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit: what a context pattern may point at.
-DIGIT_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+#: A word with a digit or an at sign: every base span holds one.
+MARKED_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 _TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -89,23 +89,41 @@ def score_patterns(edges: DataFrame, space: Workspace, *, rounds: int = 3, suppo
     return patterns
 
 
+def _plain_spots(texts: DataFrame, wanted: DataFrame, base: DataFrame) -> DataFrame:
+    """Words without a digit or an at sign, outside base spans, in the slot of a wanted pattern; places are worked out for those alone."""
+    word = lambda i: F.get(F.col("_w"), i)
+    split = texts.where("t <> ''").select("uid", F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)).alias("_words"))
+    split = split.select("uid", "_words", F.transform("_words", lambda x: F.lower(x)).alias("_w")).where(F.size("_w") > 1)
+    slots = split.select("uid", F.posexplode(F.transform("_words", lambda x, i: F.struct(x.alias("m"), F.concat(F.lit("l "), word(i - 2), F.lit(" "), word(i - 1)).alias("l"), F.concat(F.lit("c "), word(i - 1), F.lit(" _ "), word(i + 1)).alias("c")))).alias("i", "x"))
+    slots = slots.where(~F.col("x.m").rlike("[0-9@]"))
+    hits = slots.select("uid", "i", F.col("x.m").alias("m"), F.explode(F.array_compact(F.array("x.l", "x.c"))).alias("pattern")).join(wanted, "pattern", "left_semi")
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x))
+    start = total(F.slice(F.split("t", WORD, -1), 1, F.col("i") + 1)) + total(F.slice(F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("i")))
+    placed = hits.join(texts.select("uid", "t"), "uid").select("uid", start.alias("start"), "m", "pattern").withColumn("end", F.col("start") + F.char_length("m"))
+    inside = F.exists("base_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    return placed.join(base, "uid", "left").where(~F.coalesce(inside, F.lit(False))).select("uid", "start", "end", F.lit(False).alias("seed"), F.xxhash64("m").alias("instance"), "pattern")
+
+
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = 5, confidence: float = 0.8, rounds: int = 3) -> DataFrame:
     """Per row of docs: doc_id, counts of base spans of each kind, base_spans and spans (arrays of start, kind, end in code points).
 
-    Base spans are seeds. The words around a seed (two to the left, or one on either side) are its patterns; words with
-    a digit in the same contexts are the other instances. Patterns are scored over the graph of all documents, and
+    Base spans are seeds. The words around a seed (two to the left, or one on either side) are its patterns; all other
+    words in the same contexts, with a digit or without, are the other instances. Patterns are scored over the graph of all documents, and
     where a pattern of enough seeds is confident, its other instances become spans of kind `id`.
 
-    One pass over the texts leaves matches, gaps and contexts only. Null or empty texts have no spans; repeated rows
+    One pass over the texts leaves matches, gaps and contexts only; another looks up the contexts of all plain words
+    among the patterns of enough seeds. Null or empty texts have no spans; repeated rows
     and null ids are found row by row; an empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    texts = space.save(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "texts")
+    df = texts
     digit = F.col("t").rlike("[0-9]")
     gates = {"email": F.contains(F.col("t"), F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(F.col("t"), F.lit("+"))}
-    df = df.withColumn("_between", F.when(digit, F.split("t", DIGIT_WORD, -1))).withColumn("_matches", F.when(digit, F.regexp_extract_all("t", F.lit(f"({DIGIT_WORD})"), F.lit(1))))
-    found = space.save(df.select("uid", "doc_id", *[_found(F.col("t"), PATTERNS[k], g).alias(k) for k, g in gates.items()], _found(F.col("t"), DIGIT_WORD, digit, True).alias("words")), "found")
+    marked = F.col("t").rlike("[0-9@]")
+    df = df.withColumn("_between", F.when(marked, F.split("t", MARKED_WORD, -1))).withColumn("_matches", F.when(marked, F.regexp_extract_all("t", F.lit(f"({MARKED_WORD})"), F.lit(1))))
+    found = space.save(df.select("uid", "doc_id", *[_found(F.col("t"), PATTERNS[k], g).alias(k) for k, g in gates.items()], _found(F.col("t"), MARKED_WORD, marked, True).alias("words")), "found")
     base = None
     for number, kind in enumerate(KINDS[:4]):
         part = _placed(found, kind).where(_valid(kind, F.col("x.m"))).select("uid", "start", F.lit(number).alias("kind"), "end")
@@ -117,6 +135,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = words.join(base, "uid", "left").withColumn("seed", F.coalesce(inside, F.lit(False))).drop("base_spans")
     patterns = F.array_compact(F.array(F.when(F.col("left2") != "", F.concat(F.lit("l "), "left2")), F.when((F.col("left1") != "") & (F.col("right1") != ""), F.concat(F.lit("c "), "left1", F.lit(" _ "), "right1"))))
     spots = space.save(words.select("uid", "start", "end", "seed", "instance", F.explode(patterns).alias("pattern")), "spots")
+    wanted = space.save(spots.where("seed").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= support).select("pattern"), "wanted")
+    spots = spots.unionByName(space.save(_plain_spots(texts, wanted, base), "plain"))
     edges = spots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     good = score_patterns(edges, space, rounds=rounds, support=support).where(F.col("confidence") >= confidence)
     new = spots.where("NOT seed").join(good.select("pattern"), "pattern", "left_semi")
