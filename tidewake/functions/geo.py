@@ -32,9 +32,10 @@ def implied_speed_kn(distance_nm: Column, seconds: Column) -> Column:
 
 
 def overlap_s(from1, to1, from2, to2) -> Column:
-    """Shared seconds of two intervals; below zero it is the gap between them."""
+    """Shared seconds of two intervals; below zero it is the gap between them, and null where any end is unknown."""
     from1, to1, from2, to2 = (F.col(x) if isinstance(x, str) else x for x in (from1, to1, from2, to2))
-    return F.unix_seconds(F.least(to1, to2)) - F.unix_seconds(F.greatest(from1, from2))
+    known = from1.isNotNull() & to1.isNotNull() & from2.isNotNull() & to2.isNotNull()
+    return F.when(known, F.unix_seconds(F.least(to1, to2)) - F.unix_seconds(F.greatest(from1, from2)))
 
 
 def heading_arrow(course: Column) -> Column:

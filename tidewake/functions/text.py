@@ -103,3 +103,18 @@ def cargo_movement(first_m: Column, last_m: Column, dead_band_m: float = 0.5) ->
     """What the change of draught says; a change within the dead band, edge included, is none."""
     change = last_m - first_m
     return F.when(change.isNull(), "Unknown").when(F.abs(change) <= dead_band_m, "Unchanged").when(change < 0, "Discharged").otherwise("Loaded")
+
+
+def hours_text(hours: Column, exact: Column) -> Column:
+    """Hours with one decimal; a lower bound is marked as one and never shown as a measurement."""
+    return F.concat(F.when(exact, "").otherwise(">="), F.format_string("%.1f", hours))
+
+
+def drift_text(drift_nm: Column) -> Column:
+    """Drift with three decimals, or ? where it means nothing."""
+    return F.when(drift_nm.isNull(), "?").otherwise(F.format_string("%.3f", drift_nm))
+
+
+def port_text(port: Column, distance_nm: Column, at_port: Column) -> Column:
+    """A port with its distance; a tilde marks one that is too far off to be the port's own."""
+    return F.when(port.isNull(), "(none named)").otherwise(F.concat(F.when(at_port, "").otherwise("~"), port, F.lit(" "), F.format_string("%.1f", distance_nm), F.lit(" nm")))

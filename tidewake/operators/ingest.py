@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import known_text
+from ..sources.staging import Staging
 from .rules import RowRule, judge
 
 #: The feed's columns by position.
@@ -85,16 +86,23 @@ class IngestResult:
     buckets: DataFrame  # every line with the bucket that it fell in
 
 
-def ingest(lines: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None, limit: int | None = None, rules: list[RowRule] | None = None) -> IngestResult:
-    """One run. Every line falls in exactly one of filtered, quarantined, dup_in_file, dup_prior_run and inserted.
+def ingest(lines: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None, limit: int | None = None, rules: list[RowRule] | None = None, staging: Staging | None = None) -> IngestResult:
+    """One run over raw lines. With a staging, judged rows are written once, and all results read them there instead of parsing anew."""
+    if limit is not None:
+        lines = lines.where(F.col("source_line") <= limit + 1)
+    judged = judge(parse(lines), rules)
+    if staging is not None:
+        judged = staging.save(judged, f"judged-{run_id}")
+    return settle(judged, log, vessels, run_id=run_id, ship_type=ship_type)
+
+
+def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None) -> IngestResult:
+    """One run over judged rows. Every line falls in exactly one of filtered, quarantined, dup_in_file, dup_prior_run and inserted.
 
     Identities are merged over all parsed lines first. Then scope comes before refusal (an unparseable line has no
     vessel and is always refused), and duplicates are looked for among accepted lines in scope alone: the first in file
     order stays, unless the log has its natural key. One shuffle on the vessel, one on the natural key.
     """
-    if limit is not None:
-        lines = lines.where(F.col("source_line") <= limit + 1)
-    judged = judge(parse(lines), rules)
     found = merge_identity(judged)
     if ship_type is None:
         judged = judged.withColumn("in_scope", F.lit(True))

@@ -29,8 +29,9 @@ def voyage_timeline(phases: DataFrame) -> DataFrame:
     call = Window.partitionBy("mmsi", "arrived_utc")
     berth = F.when(F.col("phase") == "Berth", F.col("seq"))
     df = phases.withColumn("berthed_utc", F.min_by("started_utc", berth).over(call)).withColumn("departed_berth_utc", F.max_by("ended_utc", berth).over(call))
+    # greatest() passes over nulls, so a call without a berth counts nothing
     shared = F.when(F.col("phase") == "Unknown", F.greatest(F.lit(0), overlap_s("started_utc", "ended_utc", "berthed_utc", "departed_berth_utc"))).otherwise(0)
-    return df.groupBy("mmsi", "arrived_utc").agg(F.first("berthed_utc").alias("berthed_utc"), F.first("departed_berth_utc").alias("departed_berth_utc"), F.sum(F.coalesce(shared, F.lit(0))).alias("untrusted_s"))
+    return df.groupBy("mmsi", "arrived_utc").agg(F.first("berthed_utc").alias("berthed_utc"), F.first("departed_berth_utc").alias("departed_berth_utc"), F.sum(shared).alias("untrusted_s"))
 
 
 def merged_exceptions(exceptions: Column, begin: Column, end: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import drift_text, hours_text, port_text
+
 LARGEST_PAGE = 1000
 
 
@@ -110,7 +112,13 @@ def phases_of_calls(phases: DataFrame, keys: DataFrame) -> DataFrame:
 
 def stop_presentation(stops: DataFrame) -> DataFrame:
     """Figures that may be shown: no duration unless complete, no drift unless trusted; a lower bound is marked as one."""
+    drift = F.when(F.col("geometry_trustworthy"), F.col("max_drift_nm"))
     return stops.select(
-        "mmsi", "started_utc", F.when(F.col("is_complete"), F.col("duration_hours")).alias("duration_hours"), F.col("duration_hours").alias("observed_hours"), F.when(F.col("geometry_trustworthy"), F.col("max_drift_nm")).alias("max_drift_nm"),
-        F.concat(F.when(F.col("is_complete"), "").otherwise(">="), F.format_string("%.1f", "duration_hours")).alias("hours_text"), F.when(F.col("is_complete"), "").otherwise("(open)").alias("marker"),
+        "mmsi", "started_utc", F.when(F.col("is_complete"), F.col("duration_hours")).alias("duration_hours"), F.col("duration_hours").alias("observed_hours"), drift.alias("max_drift_nm"),
+        hours_text(F.col("duration_hours"), F.col("is_complete")).alias("hours_text"), drift_text(drift).alias("drift_text"), F.when(F.col("is_complete"), "").otherwise("(open)").alias("marker"),
     )
+
+
+def call_presentation(calls: DataFrame) -> DataFrame:
+    """A call's port as it may be shown."""
+    return calls.select("mmsi", "arrived_utc", port_text(F.col("port_name"), F.col("port_distance_nm"), F.col("plausibly_at_port")).alias("port_text"), F.when(F.col("is_complete"), "").otherwise("(open)").alias("marker"))

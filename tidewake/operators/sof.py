@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import elapsed_s, overlap_s
 from ..functions.text import port_names_agree
+from ..sources.staging import Staging
 from .laytime import EXCEPTIONS, calculate, voyage_timeline
 
 UNOBSERVABLE = ["NoticeOfReadinessTendered", "CargoCommenced", "CargoCompleted"]
@@ -53,36 +54,40 @@ def first_events(events: DataFrame) -> DataFrame:
     return events.groupBy("doc_id", "kind").agg(F.min("ts_utc").alias("sof_utc"), F.min_by("label", at).alias("label"), F.max("ts_utc").alias("last_utc"))
 
 
-def reconcile(events: DataFrame, calls: DataFrame, phases: DataFrame, terms: DataFrame, tolerances: Tolerances = Tolerances()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reconcile(events: DataFrame, calls: DataFrame, phases: DataFrame, terms: DataFrame, tolerances: Tolerances = Tolerances(), staging: Staging | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(comparisons, summary, refusals, not_compared) of documents against the call each describes.
 
     terms: one row per doc_id. Refused are documents without a vessel's call in their time, with a tie, whose call has no
-    berth or an untrusted berth span, or that name no end of laytime.
+    berth or an untrusted berth span, or that name no end of laytime. With a staging, the ranked calls, the timelines and
+    the documents that stand are written once; all four results read them.
     """
+    keep = (lambda df, name: df) if staging is None else staging.save
     spark_kinds = [("Anchored", 0, tolerances.physical_s), ("AnchorAweigh", 0, tolerances.physical_s), ("AllFast", tolerances.all_fast_lag_s, tolerances.all_fast_s), ("LeftBerth", 0, tolerances.physical_s)]
     documents = document_windows(events)
-    ranked = select_calls(documents, calls)
+    ranked = keep(select_calls(documents, calls), "ranked")
     chosen = ranked.where("chosen")
     anchorage = F.when(F.col("phase") == "Anchorage", F.col("seq"))
     anchored = phases.groupBy("mmsi", "arrived_utc").agg(F.min_by("started_utc", anchorage).alias("anchored_utc"), F.max_by("ended_utc", anchorage).alias("aweigh_utc"))
-    base = chosen.join(voyage_timeline(phases), ["mmsi", "arrived_utc"]).join(anchored, ["mmsi", "arrived_utc"])
+    base = keep(chosen.join(voyage_timeline(phases), ["mmsi", "arrived_utc"]).join(anchored, ["mmsi", "arrived_utc"]), "timelines")
+    firsts = keep(first_events(events), "first-events")
     found = ranked.groupBy("doc_id").agg(F.bool_or("chosen").alias("any_chosen"))
     state = documents.select("doc_id").join(found, "doc_id", "left").join(base.select("doc_id", "berthed_utc", "untrusted_s"), "doc_id", "left")
-    ends = first_events(events).groupBy("doc_id").agg(F.min(F.when(F.col("kind") == "LeftBerth", F.col("sof_utc"))).alias("left"), F.max(F.when(F.col("kind") == "CargoCompleted", F.col("last_utc"))).alias("done"), F.min(F.when(F.col("kind") == "AllFast", F.col("sof_utc"))).alias("fast"))
+    ends = firsts.groupBy("doc_id").agg(F.min(F.when(F.col("kind") == "LeftBerth", F.col("sof_utc"))).alias("left"), F.max(F.when(F.col("kind") == "CargoCompleted", F.col("last_utc"))).alias("done"), F.min(F.when(F.col("kind") == "AllFast", F.col("sof_utc"))).alias("fast"))
     state = state.join(ends, "doc_id", "left")
     refusal = (
         F.when(F.col("any_chosen").isNull(), "NoCallInDocumentTime").when(~F.col("any_chosen"), "AmbiguousCall").when(F.col("berthed_utc").isNull(), "NoBerthPhase")
         .when(F.col("untrusted_s") > 0, "BerthGeometryUntrustworthy").when(F.coalesce("left", "done").isNull(), "NoEndOfLaytime")
     )
-    state = state.withColumn("refusal", refusal)
+    state = keep(state.withColumn("refusal", refusal), "state")
     refusals = state.where("refusal IS NOT NULL").select("doc_id", "refusal")
     good = base.join(state.where("refusal IS NULL").select("doc_id", "left", "done", "fast"), "doc_id")
+    good = keep(good, "good")
     ais = {"Anchored": "anchored_utc", "AnchorAweigh": "aweigh_utc", "AllFast": "berthed_utc", "LeftBerth": "departed_berth_utc"}
     rows = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(ais[k]).alias("ais_utc"), F.lit(lag).alias("expected_s"), F.lit(tol).alias("tolerance_s"), F.lit(True).alias("seen")) for k, lag, tol in spark_kinds],
         *[F.struct(F.lit(k).alias("kind"), F.lit(None).cast("timestamp").alias("ais_utc"), F.lit(0).alias("expected_s"), F.lit(0).alias("tolerance_s"), F.lit(False).alias("seen")) for k in UNOBSERVABLE],
     )
-    compared = good.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").join(first_events(events).drop("last_utc"), ["doc_id", "kind"], "left")
+    compared = good.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").join(firsts.drop("last_utc"), ["doc_id", "kind"], "left")
     off = elapsed_s("ais_utc", "sof_utc") - F.col("expected_s")
     verdict = F.when(F.col("sof_utc").isNull(), "AbsentFromStatement").when(~F.col("seen"), "AisCannotObserve").when(F.col("ais_utc").isNull(), "AbsentFromAis").when(F.abs(off) <= F.col("tolerance_s"), "Agrees").otherwise("Disagrees")
     comparisons = compared.select("doc_id", "kind", "label", "sof_utc", "ais_utc", "expected_s", off.alias("unexplained_s"), verdict.alias("verdict"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,74 +11,11 @@ from ..operators import listing as L
 from ..operators import reports as R
 from ..operators.annotate import annotate
 from ..operators.cited_text import validate_cited_text
-from ..operators.ingest import IngestResult, ingest, parse
 from ..operators.laytime import EXCEPTIONS, assess_laytime, priceability, voyage_timeline
-from ..operators.rules import judge, registry
-from ..operators.sof import reconcile, select_calls
-from ..operators.stops import detect_stops
+from ..operators.rules import registry
+from ..operators.sof import document_windows, reconcile, select_calls
 from ..operators.track import fleet_state, scope_summary, ships_log
-from .demo_feed import SQL_FEED, feed_lines, gazetteer
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = SQL_FEED + sql
-        return f
-
-    return register
-
-
-#: Stages kept for further queries of one session and one folder: like any cached table, only ever recomputed from the feed.
-_kept: dict[tuple, DataFrame] = {}
-
-
-class Feed:
-    """The stages of the derived feed. The log, the flagged fixes and what is detected are persisted and shared by all queries of a session."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.lines = feed_lines(spark, sf_dir)
-
-    def _keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _kept:
-            _kept[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
-        return _kept[key]
-
-    def runs(self, ship_type: str | None = None) -> tuple[IngestResult, IngestResult]:
-        one = ingest(self.lines.where("source_file = 'day1.csv'"), run_id=1, ship_type=ship_type)
-        first = self._keep(f"day1-{ship_type}", lambda: one.positions)
-        two = ingest(self.lines.where("source_file = 'day2.csv'"), first, one.vessels, run_id=2, ship_type=ship_type)
-        return one, two
-
-    def log(self) -> DataFrame:
-        def make():
-            one, two = self.runs()
-            return one.positions.unionByName(two.positions)
-
-        return self._keep("log", make)
-
-    def vessels(self) -> DataFrame:
-        return self._keep("vessels", lambda: self.runs()[1].vessels)
-
-    def fixes(self) -> DataFrame:
-        return self._keep("fixes", lambda: annotate(self.log())[0])
-
-    def stops(self) -> DataFrame:
-        return self._keep("stops", lambda: detect_stops(self.fixes()))
-
-    def ports(self) -> DataFrame:
-        return gazetteer(self.spark, self.sf_dir)
-
-    def calls(self) -> tuple[DataFrame, DataFrame]:
-        calls, phases = C.chain_port_calls(self.stops(), self.ports())
-        return self._keep("calls", lambda: calls), self._keep("phases", lambda: phases)
-
+from .feed import Feed, query as _query
 
 def _s(c: str):
     return F.unix_seconds(c)
@@ -99,12 +33,12 @@ def stops_per_vessel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT coalesce(failure, 'ok') AS outcome, count(*) AS n FROM lines GROUP BY 1")
 def parse_outcomes(spark, sf_dir):
-    return parse(Feed(spark, sf_dir).lines).groupBy(F.coalesce("parse_failure", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+    return Feed(spark, sf_dir).records().groupBy(F.coalesce("parse_failure", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @_query("SELECT source_file, source_line, mmsi, ts AS ts_s, lat, lon, sog AS sog_kn, cog, status AS nav_status, draught AS draught_m, dest AS destination, eta AS eta_s, name, ship_type, length_m FROM lines WHERE failure IS NULL")
 def parsed_records(spark, sf_dir):
-    df = parse(Feed(spark, sf_dir).lines).where("parse_failure IS NULL")
+    df = Feed(spark, sf_dir).records().where("parse_failure IS NULL")
     return df.select("source_file", "source_line", "mmsi", _s("ts_utc").alias("ts_s"), "lat", "lon", "sog_kn", "cog", "nav_status", "draught_m", "destination", _s("eta_utc").alias("eta_s"), "name", "ship_type", "length_m")
 
 
@@ -116,7 +50,7 @@ def parsed_records(spark, sf_dir):
 )
 def row_rule_hits(spark, sf_dir):
     """Of lines that could be parsed, and R1 of the others."""
-    j = judge(parse(Feed(spark, sf_dir).lines))
+    j = Feed(spark, sf_dir).judged()
     h = j.select("parse_failure", F.explode("hits").alias("h")).where("parse_failure IS NULL OR h.rule_id = 'R1'")
     return h.groupBy(F.col("h.rule_id").alias("rule_id"), F.col("h.action").alias("action")).agg(F.count("*").alias("hits"))
 
@@ -527,17 +461,14 @@ def demo_documents(calls: DataFrame, phases: DataFrame) -> DataFrame:
 
 _DOCS = _TIMELINE + """, docs AS (SELECT mmsi || '-' || arrived AS doc_id, mmsi, arrived, berthed, left_berth, untrusted, berthed + (mmsi % 90) * 60 AS fast, left_berth + (mmsi % 25) * 60 AS gone FROM timeline WHERE berthed IS NOT NULL),
   spans AS (SELECT *, least(arrived, berthed) AS f, greatest(fast, gone, berthed + 6600) AS t FROM docs),
-  overlaps AS (SELECT d.*, c.arrived AS ca, least(d.t, c.departed) - greatest(d.f, c.arrived) AS o FROM spans d JOIN calls c ON c.mmsi = d.mmsi WHERE least(d.t, c.departed) - greatest(d.f, c.arrived) > 0),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, ca) AS rank, lead(o) OVER (PARTITION BY doc_id ORDER BY o DESC, ca) AS nxt FROM overlaps)"""
+  shared AS (SELECT d.*, c.arrived AS ca, least(d.t, c.departed) - greatest(d.f, c.arrived) AS o FROM spans d JOIN calls c ON c.mmsi = d.mmsi WHERE least(d.t, c.departed) - greatest(d.f, c.arrived) > 0),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, ca) AS rank, lead(o) OVER (PARTITION BY doc_id ORDER BY o DESC, ca) AS nxt FROM shared)"""
 
 
 @_query(_DOCS + " SELECT doc_id, ca AS arrived_s, o AS overlap_s, rank, rank = 1 AND (nxt IS NULL OR nxt < o) AS chosen FROM ranked")
 def document_calls(spark, sf_dir):
     c, p = Feed(spark, sf_dir).calls()
-    docs = demo_documents(c, p)
-    from ..operators.sof import document_windows
-
-    return select_calls(document_windows(docs), c).select("doc_id", _s("arrived_utc").alias("arrived_s"), "overlap_s", "rank", "chosen")
+    return select_calls(document_windows(demo_documents(c, p)), c).select("doc_id", _s("arrived_utc").alias("arrived_s"), "overlap_s", "rank", "chosen")
 
 
 @_query(_DOCS + """ SELECT verdict, kind, count(*) AS n FROM (
@@ -546,21 +477,47 @@ def document_calls(spark, sf_dir):
   SELECT 'NoticeOfReadinessTendered', 'AisCannotObserve' FROM ranked d JOIN timeline t ON t.mmsi = d.mmsi AND t.arrived = d.ca WHERE d.rank = 1 AND (nxt IS NULL OR nxt < o) AND t.berthed IS NOT NULL AND t.untrusted = 0 UNION ALL
   SELECT unnest(['CargoCommenced', 'CargoCompleted', 'Anchored', 'AnchorAweigh']), 'AbsentFromStatement' FROM ranked d JOIN timeline t ON t.mmsi = d.mmsi AND t.arrived = d.ca WHERE d.rank = 1 AND (nxt IS NULL OR nxt < o) AND t.berthed IS NOT NULL AND t.untrusted = 0) GROUP BY ALL""")
 def document_verdicts(spark, sf_dir):
-    c, p = Feed(spark, sf_dir).calls()
-    comparisons, _, _, _ = _reconciled(c, p)
+    comparisons, _, _, _ = _reconciled(Feed(spark, sf_dir))
     return comparisons.groupBy("verdict", "kind").agg(F.count("*").alias("n"))
 
 
-def _reconciled(c: DataFrame, p: DataFrame):
-    docs = demo_documents(c, p)
+def _reconciled(f: Feed):
+    c, p = f.calls()
+    docs = f.staging.save(demo_documents(c, p), "documents")
     terms = docs.groupBy("doc_id").agg(F.min("mmsi").alias("m"), F.min("ts_utc").alias("t0")).select(
         "doc_id", F.lit(1.0).alias("allowed_hours"), F.lit(2_800_000).cast("bigint").alias("rate_minor"), F.lit("USD").alias("currency"), F.col("t0").alias("notice_utc"), F.lit(True).alias("notice_assumed"), F.lit("OnBerthing").alias("commencement"), F.lit(6.0).alias("turn_hours"), F.array().cast(EXCEPTIONS).alias("exceptions"), F.lit(True).alias("once_on_demurrage")
     )
-    return reconcile(docs, c, p, terms)
+    return reconcile(docs, c, p, terms, staging=f.staging)
+
 
+#: The chosen call of each document that stands, with what either side says of its end and its suspension.
+_STANDING = _DOCS + """, standing AS (
+  SELECT d.*, t.berthed AS b0, t.left_berth AS b1, t.untrusted AS u0, c.port AS ais_port, coalesce(own.port, '') AS document_port, d.berthed + 6000 AS s0, d.berthed + 6600 AS s1
+  FROM ranked d JOIN timeline t ON t.mmsi = d.mmsi AND t.arrived = d.ca JOIN calls c ON c.mmsi = d.mmsi AND c.arrived = d.ca JOIN calls own ON own.mmsi = d.mmsi AND own.arrived = d.arrived
+  WHERE d.rank = 1 AND (nxt IS NULL OR nxt < o) AND t.berthed IS NOT NULL AND t.untrusted = 0)"""
 
-@_query(None)
+
+@_query(_STANDING + """, clipped AS (SELECT *, greatest(s0, fast) AS xf, least(s1, gone) AS xt FROM standing),
+  used AS (SELECT *, gone - fast - CASE WHEN xt > xf AND NOT xf - fast >= 3600 THEN xt - xf ELSE 0 END AS du, b1 - b0 AS au FROM clipped WHERE gone >= fast),
+  owed AS (SELECT *, CAST((2 * 2800000 * greatest(0, du - 3600) + 86400) // 172800 AS BIGINT) AS od, CAST((2 * 2800000 * greatest(0, au - 3600) + 86400) // 172800 AS BIGINT) AS oa, lower(replace(document_port, ' ', '')) AS fd, lower(replace(ais_port, ' ', '')) AS fa FROM used)
+  SELECT doc_id, round(du / 3600.0, 6) AS document_used_hours, round(au / 3600.0, 6) AS ais_used_hours, od AS document_owed_minor, oa AS ais_owed_minor, od - oa AS difference_minor, CASE WHEN document_port <> '' AND ais_port IS NOT NULL THEN contains(fd, fa) OR contains(fa, fd) END AS port_names_agree FROM owed""")
 def document_prices(spark, sf_dir):
-    """What each document and the feed say is owed. The suspension's part in it is held against a plain loop in the tests."""
-    _, summary, _, _ = _reconciled(*Feed(spark, sf_dir).calls())
+    """What each document and the feed say is owed."""
+    _, summary, _, _ = _reconciled(Feed(spark, sf_dir))
     return summary.select("doc_id", _r("document_used_hours").alias("document_used_hours"), _r("ais_used_hours").alias("ais_used_hours"), "document_owed_minor", "ais_owed_minor", "difference_minor", "port_names_agree")
+
+
+@_query(_STANDING + """ SELECT doc_id, kind, ts_s FROM (SELECT doc_id, 'Suspended' AS kind, s0 AS ts_s FROM standing UNION ALL SELECT doc_id, 'Resumed', s1 FROM standing)""")
+def document_events_not_compared(spark, sf_dir):
+    """Events of a known kind that no comparison uses."""
+    _, _, _, rest = _reconciled(Feed(spark, sf_dir))
+    return rest.select("doc_id", "kind", _s("ts_utc").alias("ts_s"))
+
+
+@_query(_DOCS + """, best AS (SELECT doc_id, any_value(o) AS any_o, bool_or(rank = 1 AND (nxt IS NULL OR nxt < o)) AS chosen FROM ranked GROUP BY doc_id)
+  SELECT d.doc_id, CASE WHEN b.doc_id IS NULL THEN 'NoCallInDocumentTime' WHEN NOT b.chosen THEN 'AmbiguousCall' WHEN t.berthed IS NULL THEN 'NoBerthPhase' WHEN t.untrusted > 0 THEN 'BerthGeometryUntrustworthy' ELSE 'document: completed before laytime commenced' END AS refusal
+  FROM docs d LEFT JOIN best b ON b.doc_id = d.doc_id LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.rank = 1 AND b.chosen LEFT JOIN timeline t ON t.mmsi = d.mmsi AND t.arrived = r.ca
+  WHERE b.doc_id IS NULL OR NOT b.chosen OR t.berthed IS NULL OR t.untrusted > 0 OR d.gone < d.fast""")
+def document_refusals(spark, sf_dir):
+    _, _, refusals, _ = _reconciled(Feed(spark, sf_dir))
+    return refusals.select("doc_id", "refusal")

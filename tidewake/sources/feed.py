@@ -7,17 +7,18 @@ from collections.abc import Iterator
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import FEED_COLUMNS
 
 
-def read_lines(spark: SparkSession, path: str, source_file: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, source_file: str | Column | None = None) -> DataFrame:
     """source_file, source_line (the header is line 1), raw_text and fields of every data row.
 
     Files are read as text, so they stay splittable. A line's number is its place in its split plus the lines of the
-    splits before it, from one count per split; only those counts meet.
+    splits before it, from one count per split; only those counts meet. source_file is the last part of the path unless a
+    name, or a Column over `path`, is given.
     """
     text = spark.read.text(path).select(F.col("value").alias("raw_text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     counts = text.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
@@ -26,7 +27,9 @@ def read_lines(spark: SparkSession, path: str, source_file: str | None = None) -
     w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("path", "block", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     lines = text.join(starts, ["path", "block"]).withColumn("source_line", F.col("id") - F.col("first") + F.col("before") + 1)
-    name = F.lit(source_file) if source_file else F.element_at(F.split("path", "/"), -1)
+    if source_file is None:
+        source_file = F.element_at(F.split("path", "/"), -1)
+    name = F.lit(source_file) if isinstance(source_file, str) else source_file
     return with_fields(lines.where("source_line > 1 AND raw_text <> ''").select(name.alias("source_file"), "source_line", "raw_text"))
 
 

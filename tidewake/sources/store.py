@@ -12,6 +12,7 @@ from ..operators.calls import chain_port_calls
 from ..operators.ingest import IngestResult, ingest
 from ..operators.stops import detect_stops
 from ..operators.thresholds import Thresholds
+from .staging import Staging
 
 RUN_COLUMNS = "id bigint, source_file string, started_utc timestamp, finished_utc timestamp, rows_read bigint, rows_filtered bigint, rows_inserted bigint, rows_dup_in_file bigint, rows_dup_prior_run bigint, rows_quarantined bigint"
 
@@ -81,7 +82,10 @@ class Store:
         run_id = (self.runs().agg(F.max("id")).first()[0] or 0) + 1
         for name in ("position_report", "quarantine"):
             self._delete(f"{name}/ingest_run_id={run_id}")
-        result = ingest(lines, self.positions(), self.table("vessel"), run_id=run_id, **options)
+        self._delete("_staging")  # of the runs before
+        # judged rows are written once; positions, rejects, vessels and counters read them
+        staging = Staging(self.spark, "judged", f"{self.root}/_staging/run-{run_id}")
+        result = ingest(lines, self.positions(), self.table("vessel"), run_id=run_id, staging=staging, **options)
         # rows of a run are one directory; dates within it prune reads by time
         result.positions.withColumn("date", F.to_date("ts_utc")).drop("ingest_run_id").repartition("date").sortWithinPartitions("mmsi", "ts_utc").write.mode("overwrite").partitionBy("date").parquet(f"{self.root}/position_report/ingest_run_id={run_id}")
         rejects, old = result.quarantine, self.quarantine()
