@@ -25,21 +25,29 @@ BLOCK_TOKENS = 256 * CAPACITY
 BLOCK_PIECES = 16384
 #: A document's rest of over 4 * FILLER ids gives its last FILLER to 2 * FILLER - 1 ids as a piece of their own.
 FILLER = 64
-_MEMO = 800_000
-#: A line of letters that lower() maps one to one, with marks at its end; the letters and the marks are a pre-token each.
-_PLAIN = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([.,;:!?$%&*#]{0,8})$", re.MULTILINE)
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+#: Characters of the vector path: ASCII, and the Latin-1 letters that lower() maps one to one and NFC leaves as they are.
+_SAFE = "\t-\r -~À-ÖØ-öø-ÿ"
+_FOREIGN = re.compile(f"[^\t-\r ]*[^{_SAFE}][^\t-\r ]*|<\\|(?:startoftext|endoftext)\\|>")
+_MARK = "\x01"  # stands for a word that holds another character
+_SPACE, _LETTER, _DIGIT, _OTHER, _ALIEN = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[[b for b in range(256) if chr(b).isalpha() and b not in (0xAA, 0xB5, 0xBA)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[1] = _ALIEN
+_LOWER = np.asarray([ord(chr(b).lower()) if _CLASS[b] == _LETTER else b for b in range(256)], np.uint8)
+#: Characters that are encoded together, and words that the memo holds at most.
+CHUNK, MEMO = 1 << 20, 600_000
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, with a memo by word.
+    """Ids of whole texts as little-endian bytes, by numpy over many texts at once, with a memo of pre-tokens.
 
-    The tokenizer's normalizer and pre-tokenizer never look across white space, so a text's ids are the ids of its
-    words in order. A new word of ASCII or Latin-1 letters, or of these and marks at its end, is one or two pre-tokens:
-    its letters in lower case, which the memo may know already, and the marks. Letters that it does not know are
-    encoded many at once by the same model without normalizer or pattern, and parted again at the tokens that end a
-    word. All other words go through the tokenizer as it is.
+    The tokenizer's normalizer and pre-tokenizer never look across white space. In ASCII and Latin-1 letters the
+    pre-tokens are runs of letters, single digits, runs of other marks, and the contractions that begin such a run; they
+    are found by comparing neighbours, hashed to 64 bits, and looked up in a sorted memo of ids. New letter runs are encoded
+    many at once by the same model without normalizer or pattern. A word with any other character goes through the
+    tokenizer as it is. The memo holds MEMO pre-tokens in flat arrays, some 40 bytes each; full, it drops the half that was not used for longest.
     """
 
     def __init__(self, path: str):
@@ -54,47 +62,155 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, cores: list[str]) -> None:
-        """Lower-case words of letters, 128 at once."""
-        for at in range(0, len(cores), 128):
-            own = cores[at : at + 128]
-            ids = np.asarray(self.plain.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(ends) == len(own):
-                raw = ids.tobytes()
-                self.words.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-            else:
-                self.words.update((w, self._ids(w)) for w in own)
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > _MEMO:
-            self.words.clear()
-        found = _PLAIN.findall("\n".join(new))
-        words = list(map("".join, found))
-        known = self.words
-        if found:
-            cores = "\n".join([core for core, _ in found]).lower().split("\n")
-            self._letters(list(set(cores) - known.keys()))
-            marks = {m: self._ids(m) if m else b"" for m in {m for _, m in found}}
-            known.update(zip(words, [known[c] + marks[m] for c, (_, m) in zip(cores, found)]))
-        for w in new.difference(words):
-            known[w] = self._ids(w)
+        self.keys, self.begin, self.size, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.round = np.zeros(0, np.uint32), 0
+        self.power = np.ones(1, np.uint64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word): letter runs 128 at once, parted again at the tokens that end a word."""
+        parts, sizes = [], []
+        for at in range(0, len(words), 128):
+            own = words[at : at + 128]
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(own):
+                each = [self._ids(w) for w in own]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            parts.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Adds pre-tokens, keys ascending."""
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        ids, sizes = self._encoded([words[i] for i in letters]) if letters else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        other = [self._ids(words[i]) for i in rest]
+        size = np.zeros(len(words), np.int64)
+        size[letters], size[rest] = sizes, [len(x) for x in other]
+        begin = np.zeros(len(words), np.int64)
+        begin[letters] = np.cumsum(sizes) - sizes
+        begin[rest] = len(ids) + np.cumsum([0, *[len(x) for x in other]])[:-1]
+        if len(self.keys) + len(keys) > MEMO and len(self.keys):
+            stay = self.used > np.sort(self.used)[len(self.used) // 2] if self.used.max() > self.used.min() else np.zeros(len(self.keys), bool)
+            spots, self.size = _ranges(self.begin[stay], self.size[stay]), self.size[stay]
+            self.pool, self.begin = self.pool[spots], np.cumsum(self.size) - self.size
+            self.keys, self.used = self.keys[stay], self.used[stay]
+        begin += len(self.pool)
+        self.pool = np.concatenate([self.pool, ids, *other])
+        at = np.searchsorted(self.keys, keys)
+        self.begin, self.size, self.used = (np.insert(a, at, v) for a, v in ((self.begin, begin), (self.size, size), (self.used, self.round)))
+        self.keys = np.insert(self.keys, at, keys)
+
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        aliens: list[str] = []
+
+        def alien(m: re.Match) -> str:
+            aliens.append(m.group())
+            return _MARK
+
+        clean = [_FOREIGN.sub(alien, t) if "<|" in t or _UNSAFE.search(t) else t for t in texts]
+        raw = _LOWER[np.frombuffer(("\n".join(clean) + "\n").encode("latin-1"), np.uint8)]
+        kind = _CLASS[raw]
+        edge = np.empty(len(raw), bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        edge |= (kind == _DIGIT) | (kind == _ALIEN)
+        # contractions: a mark at the start of a run, and the letters after it
+        quote = np.flatnonzero((raw[:-3] == 39) & edge[:-3] & (kind[1:-2] == _LETTER)) if len(raw) > 3 else np.zeros(0, np.int64)
+        one, two = raw[quote + 1], raw[quote + 2]
+        length = np.where(np.isin(one, _SHORT), 2, np.where((np.isin(one, _LONG) & (two == 101)) | ((one == 108) & (two == 108)), 3, 0))
+        quote, length = quote[length > 0], length[length > 0]
+        edge[quote + 1] = False
+        edge[quote + length] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(raw))
+        word = kind[starts] != _SPACE
+        starts, ends = starts[word], ends[word]
+        stops = np.cumsum([len(t) + 1 for t in clean])
+        if not len(starts):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        if (most := int((ends - starts).max())) > len(self.power):
+            self.power = np.cumprod(np.full(most, 0x9E3779B97F4A7C15, np.uint64))
+        spots = _ranges(starts, ends - starts)
+        place = spots - np.repeat(starts, ends - starts)
+        h = np.add.reduceat((raw[spots].astype(np.uint64) + np.uint64(1)) * self.power[place], np.cumsum(ends - starts) - (ends - starts))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        own = kind[starts] != _ALIEN
+        order = np.argsort(h)
+        change = np.empty(len(h), bool)
+        change[0] = True
+        np.not_equal(h[order][1:], h[order][:-1], out=change[1:])
+        unique, first = h[order][change], order[change]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(change) - 1
+        self.round += 1
+        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        self.used[at[known]] = self.round
+        new = ~known & own[first]
+        if new.any():
+            line = raw.tobytes().decode("latin-1")
+            self._learn(unique[new], [line[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        begin, size, pool = self.begin[at][which] if len(self.keys) else np.zeros(len(h), np.int64), self.size[at][which] if len(self.keys) else np.zeros(len(h), np.int64), self.pool
+        if aliens:
+            each = [self._ids(w) for w in aliens]
+            size[~own] = [len(x) for x in each]
+            begin[~own] = len(pool) + np.cumsum([0, *[len(x) for x in each]])[:-1]
+            pool = np.concatenate([pool, *each])
+        ids = pool[_ranges(begin, size)]
+        total = np.concatenate([[0], np.cumsum(size)])
+        cuts = total[np.searchsorted(starts, stops)]
+        return np.split(ids, cuts[:-1])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [[w for w in _ASCII_SPACE.split(t) if w] if _RARE_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            before = len(self.words)
-            self._learn(new)
-            if len(self.words) < before + len(new):  # the memo was emptied for the new words
-                self._learn(set().union(*split) - self.words.keys())
-        known = self.words
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out: list[list[bytes]] = [[] for _ in texts]
+        owner, part, held = [], [], 0
+
+        def flush() -> None:
+            for i, ids in zip(owner, self._chunk(part)):
+                out[i].append(ids.astype("<u4").tobytes())
+            owner.clear()
+            part.clear()
+
+        for i, text in enumerate(texts):
+            for piece in _pieces(text):
+                if part and held + len(piece) > CHUNK:
+                    flush()
+                    held = 0
+                owner.append(i)
+                part.append(piece)
+                held += len(piece)
+        if part:
+            flush()
+        return [b"".join(x) for x in out]
+
+
+_UNSAFE = re.compile(f"[^{_SAFE}]")
+#: What makes a contraction with the mark before it.
+_SHORT, _LONG = np.frombuffer(b"stmd", np.uint8), np.frombuffer(b"rv", np.uint8)
+_CUT = re.compile("[\t-\r ]")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about CHUNK characters, parted at white space only."""
+    at = 0
+    while len(text) - at > CHUNK:
+        space = _CUT.search(text, at + CHUNK)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes begin .. begin + size - 1 of every pair, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -115,7 +231,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for ids_of, texts in text_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
+            for ids_of, texts in text_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHUNK):
                 for doc, ids in zip(ids_of, encoder.encode_all(texts)):
                     ids += end
                     n = len(ids) // 4
