@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -17,6 +17,8 @@ from .common import Workspace
 FIRST = 8
 #: A signature stands for at least so many shingles wherever the guarantee allows it.
 STRONG = 3
+#: Shingles of a block of asking documents, and of the documents that it meets at once.
+BLOCK, GROUP = 400_000, 1_000_000
 _MEMO = 200_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -54,11 +56,13 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
     Sizes fall in bands [2^b, 2^(b+1)). A set signs in its own band, and in the band below if a set there can still
     be similar enough; so every similar pair meets in one band. In a band the hashed domain has `groups` first-level
-    partitions of two second-level ones each. Similar sets differ in at most k elements, so by pigeonhole some group
-    differs in at most one, and of its enumerated subsets (each second-level partition alone) one is equal: their
-    signatures are equal. There are more groups than k/2 + 1, so the pigeonhole leaves several equal subsets, and
-    subsets of few elements need not be signed: a set leaves out those under the largest m <= STRONG that still keeps
-    one equal subset for any partner. Of two sets the one with the smaller m signs all that the other relies on.
+    partitions of three second-level ones each. Similar sets differ in at most k elements, so by pigeonhole some group
+    differs in at most one, hence in one second-level partition at most; of the three subsets of two partitions that are
+    enumerated for it, one is equal in both sets, and so is its signature. There are more groups than k/2 + 1, so the
+    pigeonhole leaves several such groups, and subsets of few elements need not be signed: a set leaves out those under
+    the largest m <= STRONG for which no more groups than that surplus lose a subset. An equal subset has as many
+    elements in either set, and of two sets the one with the larger m keeps a common group whole, so the other signs its
+    equal subset too. Sets that can have no partner but an equal one sign nothing; equal sets are one class before.
     """
     size = len(s)
     if size == 0:
@@ -67,24 +71,30 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     bands = [own] + ([own - 1] if own and (1 << own) * den > size * num and size * num <= ((1 << own) - 1) * den else [])
     found = []
     spread = _mix(s * _M3 + _M1)
+    weight = _mix(s * _M2 + _M1)
     for band in bands:
         top = (2 << band) - 1  # the largest size of the band
         limit = (den - num) * top // num  # the most elements in which a pair of the band may differ
-        parts = 2 * ((limit * 13 // 10 + 3) // 2)
+        if limit == 0:
+            continue
+        groups = limit // 2 + 1 + limit // 16
         k = (den - num) * size // num if band == own else (den - num) * (size + top) // (den + num)
-        part = ((spread >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)
-        part = part.astype(np.int64)
-        count = np.bincount(part, minlength=parts)
+        part = (((spread >> np.uint64(33)) * np.uint64(3 * groups)) >> np.uint64(31)).astype(np.int64)
+        count = np.bincount(part, minlength=3 * groups).reshape(groups, 3)
+        with np.errstate(over="ignore"):
+            total = np.zeros(3 * groups, np.uint64)
+            np.add.at(total, part, weight)
+            total = total.reshape(groups, 3)
+            # the subset without the first, second or third partition
+            count = count.sum(1, keepdims=True) - count
+            label = _mix(np.arange(3 * groups, dtype=np.uint64) * _M1 + np.uint64(band + 1) * _M3).reshape(groups, 3)
+            sig = _mix((total.sum(1, keepdims=True) - total) ^ label) + count.astype(np.uint64) * _M2
+        least, surplus = count.min(1), groups - k // 2 - 1
         m = STRONG
-        while m and (count < m).sum() > parts - k - 1:
+        while m and (least < m).sum() > surplus:
             m -= 1
-        with np.errstate(over="ignore"):
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, part, _mix(s * _M2 + _M1))
-            label = _mix(np.arange(parts, dtype=np.uint64) * _M1 + np.uint64(band + 1) * _M3)
-            sig = _mix(total ^ label) + count.astype(np.uint64) * _M2
         found.append(sig[count >= m].view(np.int64))
-    return np.concatenate(found)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def _sign(n: int, num: int, den: int):
@@ -129,17 +139,28 @@ def _verify(n: int, num: int, den: int):
 
 
 def _block_links(n: int, num: int, den: int):
-    """Links of a block's texts (left) with the texts that share a signature with one of them (right), as a spanning forest."""
+    """Links of a block's texts (left) with texts of the same family (right), as a spanning forest.
+
+    The block's shingles are ranked by how many of its sets hold them. Two sets of enough similarity share a shingle
+    among the first |set| - ceil(|set| * num / den) + 1 of either, in that order, so only these prefixes are indexed and
+    looked up: what near copies have in common ranks last, and copies with too many edits of their own meet nobody.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         memo = _Words()
         sets = [shingles(t, n, memo) for t in left["text"]]
         sizes = np.asarray([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        prefix = lambda size: size - -(-size * num // den) + 1
+        keys, place, many = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(many, kind="stable")] = np.arange(len(keys))
+        ends = np.cumsum(sizes)
+        first = [np.sort(rank[place[e - k : e]])[: prefix(k)] for e, k in zip(ends.tolist(), sizes.tolist())]
+        owner = np.repeat(np.arange(len(sets)), [len(f) for f in first])
+        flat = np.concatenate(first) if first else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        keys, begin, many = np.unique(flat[order], return_index=True, return_counts=True)
-        owner = owner[order]
+        owner, flat = owner[order], flat[order]
+        rests = sizes - prefix(sizes)
         names = left["d"].tolist()
         root: dict[int, int] = {}
 
@@ -155,14 +176,21 @@ def _block_links(n: int, num: int, den: int):
             if not len(s) or not len(keys):
                 continue
             at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            at = at[keys[at] == s]
-            width = many[at]
-            total = int(width.sum())
-            spots = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(total) if total else np.zeros(0, np.int64)
-            common = np.bincount(owner[spots], minlength=len(sets))
-            for i in np.flatnonzero((common > 0) & (den * common >= num * (sizes + len(s) - common))):
+            ranks = np.sort(rank[at[keys[at] == s]])
+            ranks = ranks[: max(0, prefix(len(s)) - (len(s) - len(ranks)))]
+            if not len(ranks):
+                continue
+            lo, hi = np.searchsorted(flat, ranks), np.searchsorted(flat, ranks, "right")
+            near, met = np.unique(np.concatenate([owner[i:j] for i, j in zip(lo.tolist(), hi.tolist())]), return_counts=True)
+            # beyond the shingles met in both prefixes, at most the rest of one set can be common
+            most = met + np.maximum(len(s) - prefix(len(s)), rests[near])
+            near = near[(num + den) * most >= num * (sizes[near] + len(s))]
+            for i in near.tolist():
                 a, b = find(names[i]), find(d)
-                if a != b:
+                if a == b:
+                    continue
+                common = len(np.intersect1d(sets[i], s, assume_unique=True))
+                if den * common >= num * (len(sets[i]) + len(s) - common):
                     root[max(a, b)] = min(a, b)
                     out.append((min(names[i], d), max(names[i], d)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -185,18 +213,18 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
         labels = step
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, rounds: int = 2, block: int = 200, group: int = 2000) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, rounds: int = 1, block: int = 2000, group: int = 4000) -> DataFrame:
     """One row per document: id, n_shingles (long) and component_id, the smallest id reachable by links of Jaccard >= num/den.
 
     Documents with equal sets form a class, and only its smallest id goes on. Signatures shared by two classes or more
     give candidates, but never all pairs of a signature. In each of `rounds` rounds every signature takes a hub (first
-    the member that shares most with others, then one by hash); the members of other components are verified against
-    it, and the hub leaves. So a group of near copies costs as many pairs as it has members. The first of several rounds
-    looks at one signature in FIRST: it ties most groups of near copies together, and the next rounds, which look at
-    all signatures, find only one component in theirs. What is then left in signatures of several components is verified in blocks: of each signature all but its largest component are queries,
-    `block` of them at once, against all that share a signature with them, `group` at once, by an inverted index over
-    the block's sets. Only a spanning forest of the links comes out. Every candidate pair of two components meets in one
-    of these ways and every verification recomputes both whole sets, so a link is exact and none is lost.
+    the member that shares most with others, then one by hash), and the members of other components are verified against
+    it. So a group of near copies costs as many pairs as it has members. The first round looks at one signature in FIRST,
+    which ties most groups of near copies together. What is then left in signatures of several components is verified in
+    families: the documents of a signature's smaller components ask all documents that share a signature with its
+    largest one, in blocks of at most `block` documents and BLOCK shingles against `group` documents and GROUP shingles,
+    by an inverted index over prefixes. Only a spanning forest of the links comes out. Every candidate pair of two
+    components meets in one of these ways and every verification compares both whole sets, so a link is exact and none is lost.
 
     Without words (or with a null text) a document has 0 shingles and links with nothing. Rows of one id count as one
     document for links and give a row each. Null ids link with nothing and get a null component. num/den over 1/2.
@@ -212,9 +240,11 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # an id with several texts ties their classes together
     named = member.where("rep IS NOT NULL").groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all"))
     ties = named.where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b")
-    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", F.explode("sigs").alias("sig"))
-    # one shuffle of ids and signatures; what only one class signs is gone after it. A signature has at most a row of each class
-    live = space.save(own.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").distinct(), "live")
+    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", F.explode("sigs").alias("sig")).repartition("sig")
+    # ids and signatures are shuffled once: the count and the join read the same exchange, and the join streams a signature's rows
+    # past its one count. What only one class signs is gone after it
+    shared = own.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    live = space.save(own.join(shared, "sig").distinct(), "live")
     sizes = signed.groupBy("d").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     score = space.save(live.groupBy("d").agg(F.sum("c").alias("score")).join(sizes, "d"), "scores")
     live = space.save(live.drop("c").join(score, "d").withColumn("label", F.col("d")), "scored")
@@ -224,12 +254,11 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     tried: DataFrame | None = None
     for r in range(rounds):
         rank = F.col("score") if r == 0 else F.xxhash64("sig", "d")
-        now = F.pmod("sig", F.lit(FIRST)) == 0 if r == 0 and rounds > 1 else F.lit(True)
-        groups = live.where(now).groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), F.negative("d").alias("m"), "label", "least", "most")).alias("hub")).where("lo < hi")
+        now = live.where(F.pmod("sig", F.lit(FIRST)) == 0) if r == 0 else live
+        groups = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), F.negative("d").alias("m"), "label", "least", "most")).alias("hub")).where("lo < hi")
         groups = groups.select("sig", F.negative("hub.m").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.least").alias("hub_least"), F.col("hub.most").alias("hub_most"))
-        rest = space.save(live.where(now).join(groups, "sig").where("d <> hub"), "rest")
         alike = (den * F.col("most") >= num * F.col("hub_least")) & (den * F.col("hub_most") >= num * F.col("least"))
-        pairs = rest.where((F.col("label") != F.col("hub_label")) & alike).select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
+        pairs = now.alias("x").join(groups.alias("g"), (F.col("x.sig") == F.col("g.sig")) & (F.col("label") != F.col("hub_label")) & alike).select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = space.save(pairs, "pairs")
@@ -240,26 +269,26 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.union(both)
         labels = components(links, space).withColumnRenamed("node", "d")
-        left = rest.select("sig", "d", "score", "least", "most").union(live.where(~now).select("sig", "d", "score", "least", "most"))
-        again = space.save(left.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d")), "live")
+        again = space.save(live.drop("label").join(labels, "d", "left").withColumn("label", F.coalesce("label", "d")).select("sig", "d", "score", "least", "most", "label"), "live")
         space.drop(live)
-        space.drop(rest)
         live = again
 
     sizes = live.groupBy("sig", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("sig").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", F.negative("label"))).alias("large")).where("labels > 1")
-    left = space.save(live.join(mixed.select("sig", "large"), "sig"), "left")
-    # queries whose signatures lie with the same large component are one family: they ask the same documents
-    queries = left.where("label <> large").groupBy("d").agg(F.min("large").alias("family"))
-    counts = queries.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    queries = space.save(queries.join(counts, "family").select("d", "family", F.pmod(F.xxhash64("d"), F.col("blocks")).alias("no")), "queries")
-    asked = left.where("label <> large").select("sig", "d").join(queries, "d").select("sig", "family", "no").distinct()
-    against = space.save(left.select("sig", "d").join(asked, "sig").select("family", "no", "d").distinct(), "against")
-    salts = against.groupBy("family", "no").agg(F.ceil(F.count("*") / group).alias("salts"))
-    # toDF: both sides read the same table
-    x = queries.join(salts, ["family", "no"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).join(texts, "d").select("family", "no", "salt", "d", "text").toDF("family", "no", "salt", "d", "text")
-    y = against.join(salts, ["family", "no"]).withColumn("salt", F.pmod(F.xxhash64("d"), F.col("salts"))).join(texts, "d").select("family", "no", "salt", "d", "text").toDF("family", "no", "salt", "d", "text")
+    # a family: the documents whose signatures lie with one large component; those of other components ask all of them
+    family = space.save(live.join(mixed.select("sig", F.col("large").alias("family")), "sig").groupBy("d", "family").agg(F.first("label").alias("label"), F.first("most").alias("most")), "family")
+    asking = F.col("label") != F.col("family")
+
+    def parts(rows: Column, limit: int, volume: int) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.count_if(rows) / limit), F.ceil(F.sum(F.when(rows, F.col("most"))) / volume))
+
+    sizes = family.groupBy("family").agg(parts(asking, block, BLOCK).alias("blocks"), parts(F.lit(True), group, GROUP).alias("salts"))
+    dealt = family.join(sizes, "family")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     key = ["family", "no", "salt"]
+    # toDF: both sides read the same table
+    x = dealt.where(asking).withColumn("no", F.pmod(F.xxhash64("d"), F.col("blocks"))).withColumn("salt", every("salts")).join(texts, "d").select(*key, "d", "text").toDF(*key, "d", "text")
+    y = dealt.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "d"), F.col("salts"))).withColumn("no", every("blocks")).join(texts, "d").select(*key, "d", "text").toDF(*key, "d", "text")
     links = links.union(space.save(x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(_block_links(n, num, den), "a long, b long"), "block-links"))
     labels = components(links, space)
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
