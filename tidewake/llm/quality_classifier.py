@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,32 +16,52 @@ from .common import crc_rest
 
 BITS = 17
 GRAMS = (2, 4)
-#: Characters handled at once; longer texts are taken in such stretches, whole.
+#: Characters handled at once; longer texts are taken whole, in stretches of about so many.
 STRETCH = 1 << 20
+_SPACE = re.compile("[\t-\r ]")
 _P = np.uint32(0x9E3779B1)
 _Q = np.uint32(0x85EBCA6B)
 _POWERS = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)
 
 
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of about STRETCH characters that part a text at white space only."""
+    at = 0
+    while len(text) - at > STRETCH:
+        space = _SPACE.search(text, at + STRETCH)
+        if space is None:
+            break
+        yield at, space.start()
+        at = space.start()
+    if at < len(text):
+        yield at, len(text)
+
+
 def buckets(text: str) -> Iterator[np.ndarray]:
-    """Bucket numbers of all words, word pairs and character n-grams, as arrays."""
-    for at in range(0, len(text), STRETCH):
-        c = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Bucket numbers of all words, word pairs and character n-grams, as arrays; n-grams and pairs run on over the stretches."""
+    last = np.zeros(0, np.uint32)
+    for begin, end in _stretches(text):
+        over = min(begin, max(GRAMS) - 1)
+        whole = np.frombuffer(text[begin - over : end].encode("utf-32-le", "surrogatepass"), np.uint32)
         for n in GRAMS:
+            c = whole[max(0, over - n + 1) :]
             if len(c) >= n:
                 h = c[: len(c) - n + 1] * _P
                 for i in range(1, n):
                     h = (h ^ (h >> np.uint32(15))) * _Q + c[i : len(c) - n + 1 + i] * _P
                 yield (h * _Q + np.uint32(n)) * _P >> np.uint32(32 - BITS)
+        c = whole[over:]
         inside = (c != 32) & ((c < 9) | (c > 13))
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         starts = np.concatenate([[0], edge])
-        if len(c) == 0 or not inside.any():
+        if not inside.any():
             continue
         place = np.arange(len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c))))
         h = np.add.reduceat(c * _POWERS[place & 63], starts).astype(np.uint32)[inside[starts]]
         h = (h ^ (h >> np.uint32(13))) * _Q
         yield (h * _P) >> np.uint32(32 - BITS)
+        h = np.concatenate([last, h])
+        last = h[-1:]
         if len(h) > 1:
             pair = ((h[:-1] * _Q ^ h[1:]) * _P) >> np.uint32(32 - BITS)
             pair[h[:-1] == h[1:]] = 0  # any word twice running is one and the same pair
