@@ -20,6 +20,8 @@ PATTERNS = {
 }
 #: A word with a digit or an at sign: every base span holds one.
 MARKED_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: Formats of keys that name themselves; seeds beside the base spans.
+SECRET = r"^[\"'`(]*(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128})[\"'`);,.]*$"
 _TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -55,7 +57,7 @@ def _found(text: Column, pattern: str, gate: Column, context: bool = False) -> C
             blank = lambda k: F.coalesce(F.trim(F.get(F.col("_between"), i + k)) == "", F.lit(False))
             second = F.when(blank(1), F.get(F.col("_matches"), i + 1))
             whole = F.concat_ws(" ", m, second, F.when(second.isNotNull() & blank(2), F.get(F.col("_matches"), i + 2)))
-            fields += [F.xxhash64(whole).alias("whole"), F.regexp_replace(tail, rf"[{SPACE}]+", " ").alias("left2"), near.alias("left1"), after.alias("right1")]
+            fields += [m.rlike(SECRET).alias("secret"), F.xxhash64(whole).alias("whole"), F.regexp_replace(tail, rf"[{SPACE}]+", " ").alias("left2"), near.alias("left1"), after.alias("right1")]
         return F.struct(*fields)
 
     if context:
@@ -101,21 +103,27 @@ def _plain_spots(texts: DataFrame, wanted: DataFrame, base: DataFrame) -> DataFr
     start = total(F.slice(F.split("t", WORD, -1), 1, F.col("i") + 1)) + total(F.slice(F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("i")))
     placed = hits.join(texts.select("uid", "t"), "uid").select("uid", start.alias("start"), "m", "pattern").withColumn("end", F.col("start") + F.char_length("m"))
     inside = F.exists("base_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return placed.join(base, "uid", "left").where(~F.coalesce(inside, F.lit(False))).select("uid", "start", "end", F.lit(False).alias("seed"), F.xxhash64("m").alias("instance"), "pattern")
+    return placed.join(base, "uid", "left").where(~F.coalesce(inside, F.lit(False))).select("uid", "start", "end", F.lit(False).alias("base"), F.lit(False).alias("seed"), F.xxhash64("m").alias("instance"), "pattern")
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = 5, confidence: float = 0.8, rounds: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = 5, confidence: float = 0.8, rounds: int = 3, grow: int = 1) -> DataFrame:
     """Per row of docs: doc_id, counts of base spans of each kind, base_spans and spans (arrays of start, kind, end in code points).
 
-    Base spans are seeds. The words around a seed (two to the left, or one on either side) are its patterns; all other
+    Base spans and words in the format of a key are seeds; the latter are spans of kind `id`. The words around a seed (two to the left, or one on either side) are its patterns; all other
     words in the same contexts, with a digit or without, are the other instances. Patterns are scored over the graph of all documents, and
-    where a pattern of enough seeds is confident, its other instances become spans of kind `id`.
+    where a pattern of enough seeds is confident, its other instances become spans of kind `id`. Instances with a digit
+    that a confident pattern finds are seeds of one further pass (`grow`), in which patterns without base seeds can rise.
 
     One pass over the texts leaves matches, gaps and contexts only; another looks up the contexts of all plain words
     among the patterns of enough seeds. Null or empty texts have no spans; repeated rows
     and null ids are found row by row; an empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "pii")
+
+    def confident(spots: DataFrame) -> DataFrame:
+        edges = spots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+        return score_patterns(edges, space, rounds=rounds, support=support).where(F.col("confidence") >= confidence)
+
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = space.save(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "texts")
     df = texts
@@ -130,16 +138,22 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         base = part if base is None else base.unionByName(part)
     base = space.save(base.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("base_spans")), "base")
 
-    words = _placed(found, "words").select("uid", "start", "end", F.col("x.whole").alias("instance"), F.col("x.left2").alias("left2"), F.col("x.left1").alias("left1"), F.col("x.right1").alias("right1"))
+    words = _placed(found, "words").select("uid", "start", "end", F.col("x.whole").alias("instance"), F.col("x.secret").alias("secret"), F.col("x.left2").alias("left2"), F.col("x.left1").alias("left1"), F.col("x.right1").alias("right1"))
     inside = F.exists("base_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    words = words.join(base, "uid", "left").withColumn("seed", F.coalesce(inside, F.lit(False))).drop("base_spans")
+    words = words.join(base, "uid", "left").withColumn("base", F.coalesce(inside, F.lit(False))).drop("base_spans")
     patterns = F.array_compact(F.array(F.when(F.col("left2") != "", F.concat(F.lit("l "), "left2")), F.when((F.col("left1") != "") & (F.col("right1") != ""), F.concat(F.lit("c "), "left1", F.lit(" _ "), "right1"))))
-    spots = space.save(words.select("uid", "start", "end", "seed", "instance", F.explode(patterns).alias("pattern")), "spots")
+    spots = space.save(words.select("uid", "start", "end", "base", "secret", (F.col("base") | F.col("secret")).alias("seed"), "instance", F.explode_outer(patterns).alias("pattern")), "spots")
+    secrets = spots.where("secret AND NOT base").select("uid", "start", "end").distinct()
+    spots = spots.where("pattern IS NOT NULL").drop("secret")
+    # what a confident pattern finds among the marked words is a seed of the next pass, so the set of edges grows
+    for _ in range(grow):
+        good = confident(spots)
+        promoted = spots.where("NOT seed").join(good.select("pattern"), "pattern", "left_semi").select("instance", F.lit(True).alias("found")).distinct()
+        spots = space.save(spots.join(promoted, "instance", "left").withColumn("seed", F.col("seed") | F.coalesce("found", F.lit(False))).drop("found"), "spots")
     wanted = space.save(spots.where("seed").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= support).select("pattern"), "wanted")
     spots = spots.unionByName(space.save(_plain_spots(texts, wanted, base), "plain"))
-    edges = spots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    good = score_patterns(edges, space, rounds=rounds, support=support).where(F.col("confidence") >= confidence)
-    new = spots.where("NOT seed").join(good.select("pattern"), "pattern", "left_semi")
+    good = confident(spots)
+    new = spots.where("NOT base").join(good.select("pattern"), "pattern", "left_semi").select("uid", "start", "end").union(secrets)
     new = new.groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new_spans"))
     out = found.select("uid", "doc_id").join(base, "uid", "left").join(new, "uid", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
