@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
-    r"|<[!?][^>]*>|</[^>]*>",
-    re.S | re.I,
-)
+#: Elements whose text is never read.
+RAW = frozenset("script style noscript template svg iframe textarea select button title object canvas".split())
+_NAME = re.compile("[a-zA-Z][a-zA-Z0-9:-]*")
+_RAW_NAME = re.compile(r"(?:" + "|".join(sorted(RAW)) + r")\b", re.I)
+_RAW_END = re.compile(r"</(" + "|".join(sorted(RAW)) + r")\s*>", re.I)
+_STOP = re.compile("[>\"']")
+#: A tag's attributes longer than this end at their first bracket, quoted or not.
+LONGEST_TAG = 1 << 16
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -39,6 +40,63 @@ NO_CONTENT_WORDS = frozenset(
 KEPT, IN_ARTICLE = 2.0, 0.1
 
 
+def _markup(page: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
+    """(start, end, name, whether it closes, attributes, raw element's name) of comments, tags and raw elements in order; a name is empty where no element begins or ends.
+
+    Every search runs forward from the last end, and what is missing once (a bracket, a closing quote, the end of a raw
+    element) is not looked for again, so the pass is linear whatever the page holds.
+    """
+    at, n = 0, len(page)
+    last_end, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    raw_ends: dict[str, list[int]] | None = None
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, "", False, "", ""
+            at = end
+            continue
+        if at > last_end:  # no tag ends any more; an open comment may begin
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        raw = _RAW_NAME.match(page, at + 1)
+        if raw:
+            name, begin = raw.group().lower(), page.find(">", raw.end()) + 1
+            if raw_ends is None:
+                raw_ends = {}
+                for m in _RAW_END.finditer(page):
+                    raw_ends.setdefault(m.group(1).lower(), []).append(m.start())
+            ends = raw_ends.get(name, [])
+            i = bisect_left(ends, begin)
+            end = page.index(">", ends[i]) + 1 if i < len(ends) else n
+            yield at, end, "", False, "", name
+            at = end
+            continue
+        closes = page.startswith("/", at + 1)
+        name = _NAME.match(page, at + 1 + closes)
+        if not name:
+            if closes or page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at) + 1
+                yield at, end, "", False, "", ""
+                at = end
+            else:
+                at += 1
+            continue
+        spot, end = name.end(), 0
+        while spot - name.end() < LONGEST_TAG and (m := _STOP.search(page, spot)):
+            if m.group() == ">":
+                end = m.end()
+                break
+            if m.start() >= last_quote[m.group()]:
+                break
+            spot = page.index(m.group(), m.end()) + 1
+        end = end or page.find(">", name.end()) + 1
+        yield at, end, name.group().lower(), closes, page[name.end() : end - 1], ""
+        at = end
+
+
 class _Tree:
     """One pass over a page's markup: its visible text blocks, each with the style nodes above it, and the order of the style nodes under each."""
 
@@ -62,24 +120,20 @@ class _Tree:
                     self.below.setdefault(path, xxhash.xxh3_64()).update("\n#text")
                     self.blocks.append((path, tuple(s[4] for s in stack), bool(stack) and stack[-1][3], words))
 
-        for m in _TOKEN.finditer(page):
-            if m.start() > at:
-                text.append(page[at : m.start()])
-            at = m.end()
-            name = m.group(3) or m.group(6)
-            if not name:
-                if not m.group(1) and not page.startswith("<!", m.start()):
-                    continue
-                if m.group(1) and m.group(1).lower() in ("button", "select", "textarea"):
+        for start, end, tag, closes, attrs, raw in _markup(page):
+            if start > at:
+                text.append(page[at:start])
+            at = end
+            if not tag:
+                if raw in ("button", "select", "textarea"):
                     text.append(" ")
                 continue
-            tag = name.lower()
             if tag not in BLOCK:
                 if tag == "br":
                     text.append(" ")
                 continue
             flush()
-            if m.group(2) or m.group(5):
+            if closes:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -93,7 +147,6 @@ class _Tree:
             if tag == "body":
                 while stack and stack[-1][0] == "head":
                     stack.pop()
-            attrs = m.group(4) or m.group(7) or ""
             up_gone, up_in = (stack[-1][2], stack[-1][3]) if stack else (False, False)
             style, gone = tag, up_gone or tag == "head"
             words: list[str] = []
