@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +28,98 @@ def has_letter(text: str | None) -> bool:
     return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
 
 
-@dataclass(frozen=True)
-class LanguageModel:
-    """Frozen context trees of all languages, laid out for lookup.
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted in ascending keys; -1 where missing."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of table, of zeros where the place is -1."""
+    out = np.zeros((len(at), table.shape[1]))
+    out[at >= 0] = table[at[at >= 0]]
+    return out
 
-    symbol: byte to symbol; state: three symbols to the longest context kept; bits[state, symbol]: code length in each language.
+
+class LanguageModel:
+    """Frozen context trees of all languages, for prediction by partial matching with escapes and exclusion.
+
+    counts: by language (four-byte strings as big-endian uint32, how often). The longest context has three bytes. In a
+    context a symbol that was seen costs its count, and any other the escape, whose count is that of distinct symbols
+    (method C), and then its cost in the context one byte shorter, where all symbols seen in the longer one are
+    excluded. Below order 0 the bytes never seen are equally likely. So the code lengths of a context's 256 next bytes
+    are those of a distribution. Everything that the sample holds is kept, sorted by key: size follows the distinct
+    contexts and symbols of the sample. known has the finished code lengths of all four-byte strings seen in any language.
     """
 
-    languages: list[str]
-    symbol: np.ndarray
-    state: np.ndarray
-    bits: np.ndarray
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(counts)
+        wide = len(self.languages)
+        self.grams: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.count: list[np.ndarray] = []
+        self.total: list[np.ndarray] = []
+        self.distinct: list[np.ndarray] = []
+        for order in range(ORDER + 1):
+            mask = np.uint32((1 << 8 * (order + 1)) - 1)
+            keys = np.unique(np.concatenate([k & mask for k, _ in counts.values()] or [np.zeros(0, np.uint32)]))
+            count = np.zeros((len(keys), wide))
+            for j, lang in enumerate(self.languages):
+                np.add.at(count[:, j], np.searchsorted(keys, counts[lang][0] & mask), counts[lang][1])
+            contexts, begin = np.unique(keys >> np.uint32(8), return_index=True)
+            add = lambda x, begin=begin: np.add.reduceat(x, begin) if len(x) else np.zeros((0, wide))
+            for kept, value in ((self.grams, keys), (self.contexts, contexts), (self.count, count), (self.total, add(count)), (self.distinct, add((count > 0).astype(float)))):
+                kept.append(value)
+        # by context of an order: how often what it has seen stands in the context one byte shorter
+        self.excluded = [np.zeros((0, wide))]
+        for order in range(1, ORDER + 1):
+            shorter = self.count[order - 1][np.searchsorted(self.grams[order - 1], self.grams[order] & np.uint32((1 << 8 * order) - 1))] if len(self.grams[order]) else np.zeros((0, wide))
+            begin = np.searchsorted(self.grams[order], self.contexts[order] << np.uint32(8))
+            self.excluded.append(np.add.reduceat(np.where(self.count[order] > 0, shorter, 0), begin) if len(begin) else np.zeros((0, wide)))
+        self.known = self.costs(self.grams[ORDER])
+
+    @property
+    def bits(self) -> np.ndarray:
+        """[context, byte, language]: code lengths of all next bytes in every longest context."""
+        grams = (self.contexts[ORDER][:, None] << np.uint32(8)) | np.arange(256, dtype=np.uint32)
+        return self.costs(grams.ravel()).reshape(len(self.contexts[ORDER]), 256, len(self.languages))
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each four-byte string after the other three, in every language."""
+        wide = len(self.languages)
+        out, open_ = np.zeros((len(grams), wide)), np.ones((len(grams), wide), bool)
+        longer = np.full(len(grams), -1)
+        for order in range(ORDER, -1, -1):
+            own = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+            at = _find(self.contexts[order], own >> np.uint32(8))
+            count, total, distinct = _rows(self.count[order], _find(self.grams[order], own)), _rows(self.total[order], at), _rows(self.distinct[order], at)
+            if order < ORDER:
+                total -= _rows(self.excluded[order + 1], longer)
+                distinct -= _rows(self.distinct[order + 1], longer)
+            room = total + distinct
+            seen = open_ & (count > 0)
+            out[seen] += np.log2(room[seen] / count[seen])
+            open_ &= count == 0
+            escapes = open_ & (distinct > 0)
+            out[escapes] += np.log2(room[escapes] / distinct[escapes])
+            longer = at
+        unseen = np.log2(256 - (self.distinct[0][0] if len(self.distinct[0]) else np.zeros(wide)).clip(max=255))
+        return out + np.where(open_, unseen, 0)
 
     def code_lengths(self, text: str) -> np.ndarray:
         raw = np.frombuffer(_bytes(text), np.uint8)
-        a = self.bits.shape[1]
-        flat = self.bits.reshape(-1, self.bits.shape[2])
         total = np.zeros(len(self.languages))
         for at in range(0, max(0, len(raw) - ORDER), STRETCH):
-            s = self.symbol[raw[at : at + STRETCH + ORDER]]
-            context = (s[:-3] * a + s[1:-2]) * a + s[2:-1]
-            total += flat[self.state[context] * a + s[3:]].sum(axis=0, dtype=np.float64)
+            b = raw[at : at + STRETCH + ORDER].astype(np.uint32)
+            grams = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+            place = _find(self.grams[ORDER], grams)
+            known = place >= 0
+            total += np.bincount(place[known], minlength=len(self.known)) @ self.known
+            if not known.all():
+                rest, n = np.unique(grams[~known], return_counts=True)
+                total += n @ self.costs(rest)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -61,53 +131,6 @@ class LanguageModel:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], *, most_states: int = 20000) -> LanguageModel:
-    """Model of counts by language: (four-byte strings as big-endian uint32, how often).
-
-    Orders 0 to 3; a context's escape probability is its distinct successors against its total plus distinct
-    (method C), and the order below order 0 is uniform over bytes. Of the order-3 contexts the most_states most
-    frequent get a state of their own, the others share their order-2 state.
-    """
-    languages = sorted(counts)
-    seen = np.unique(np.concatenate([np.concatenate([(k >> s) & 255 for s in (24, 16, 8, 0)]) for k, _ in counts.values()] or [np.zeros(0, np.uint32)]))
-    a = len(seen) + 1  # the last symbol stands for all other bytes
-    symbol = np.full(256, a - 1, np.int32)
-    symbol[seen.astype(int)] = np.arange(len(seen))
-    per = []
-    weight = np.zeros(a**3, np.int64)
-    for lang in languages:
-        keys, n = counts[lang]
-        s = [symbol[((keys >> sh) & 255).astype(int)].astype(np.int64) for sh in (24, 16, 8, 0)]
-        full = ((s[0] * a + s[1]) * a + s[2]) * a + s[3]
-        per.append((full, n.astype(np.float64)))
-        np.add.at(weight, full // a, n)
-    chosen = np.flatnonzero(weight)
-    chosen = np.sort(chosen[np.argsort(-weight[chosen], kind="stable")][:most_states])
-    state = np.tile(np.arange(a * a, dtype=np.int64), a)  # by default the order-2 context, whatever the first symbol
-    state[chosen] = a * a + np.arange(len(chosen))
-    bits = np.zeros((a * a + len(chosen), a, len(languages)), np.float32)
-    for j, (full, n) in enumerate(per):
-        p = np.full(a, 1 / 256)
-        tables = []
-        for order in (0, 1, 2):
-            size = a**order
-            count = np.bincount(full % (size * a), n, size * a).reshape(size, a)
-            total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            lower = np.tile(p, (a, 1)) if order else p[None, :]
-            escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-            p = count / np.maximum(total + distinct, 1) + escape * lower
-            tables.append(p)
-        bits[: a * a, :, j] = -np.log2(tables[2])
-        slot = np.searchsorted(chosen, full // a)
-        slot = np.minimum(slot, max(0, len(chosen) - 1))
-        ok = len(chosen) > 0 and chosen[slot] == full // a
-        count = np.bincount((slot * a + full % a)[ok], n[ok], len(chosen) * a).reshape(len(chosen), a)
-        total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        bits[a * a :, :, j] = -np.log2(count / np.maximum(total + distinct, 1) + escape * tables[2][chosen % (a * a)])
-    return LanguageModel(languages, symbol, state, bits)
-
-
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -129,11 +152,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (crc_rest(F.col(id_col), folds) != held_fold))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros(256, np.int32), np.zeros(1, np.int64), np.zeros((1, 1, 0), np.float32))
+        return LanguageModel({})
     of = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
     rows = usable.where(F.pmod(F.xxhash64(id_col), of[F.col(lang_col)]) < sample).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     got = rows.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return build({lang: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for lang, g in got.sort_values(["lang", "gram"]).groupby("lang")})
+    return LanguageModel({lang: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for lang, g in got.sort_values(["lang", "gram"]).groupby("lang")})
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_fold: int = 2) -> DataFrame:
