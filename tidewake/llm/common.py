@@ -17,11 +17,14 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset a temporary one serves, but only for a local master: other executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidewake-"))
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
 class Workspace:
@@ -34,19 +37,33 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.tidewake_path = path  # type: ignore[attr-defined]
         return out
 
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.remove(path)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of save() that no returned DataFrame reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.tidewake_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df.tidewake_path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """df as a table of its own; all other tables go."""
+        old = list(self.paths)
+        out = self.save(df, "result")
+        for path in old:
+            self._delete(path)
+        return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -107,6 +107,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             space.drop(keys)
     finally:
         runs.close()
+    space.drop(lines)
     lost = drops[0]
     for d in drops[1:]:
         lost = lost.unionByName(d)

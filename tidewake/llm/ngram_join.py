@@ -292,4 +292,4 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = links.union(space.save(x.groupBy(*key).cogroup(y.groupBy(*key)).applyInPandas(_block_links(n, num, den), "a long, b long"), "block-links"))
     labels = components(links, space)
     out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("d").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("label", "rep", "d")).alias("component_id"))
+    return space.finish(out.select(F.col("d").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("label", "rep", "d")).alias("component_id")))
