@@ -19,6 +19,8 @@ FIRST = 8
 STRONG = 3
 #: Shingles of a block of asking documents, and of the documents that it meets at once.
 BLOCK, GROUP = 400_000, 1_000_000
+#: Ids that may be broadcast, of eight bytes each.
+SMALL = 4_000_000
 _MEMO = 200_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -248,8 +250,9 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = signed.groupBy("d").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     score = space.save(live.groupBy("d").agg(F.sum("c").alias("score")).join(sizes, "d"), "scores")
     live = space.save(live.drop("c").join(score, "d").withColumn("label", F.col("d")), "scored")
-    # texts of documents that share a signature: shuffled once, whatever is verified later
-    texts = space.save(source.join(score.select("d"), "d", "left_semi"), "texts")
+    # texts of documents that share a signature: written once, whatever is verified later. Few enough ids go to the texts, else both are shuffled
+    ids = score.select("d")
+    texts = space.save(source.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "d", "left_semi"), "texts")
     links = space.save(ties.select("a", "b"), "ties")
     tried: DataFrame | None = None
     for r in range(rounds):
