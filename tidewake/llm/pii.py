@@ -158,7 +158,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out = found.select("uid", "doc_id").join(base, "uid", "left").join(new, "uid", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     out = out.select("doc_id", F.coalesce("base_spans", none).alias("base_spans"), F.coalesce("new_spans", none).alias("new_spans"))
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    # a second parameter of the function would be the place in the array
+    of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k))
+    counts = [of_kind(k).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select("doc_id", *counts, "base_spans", F.array_sort(F.concat("base_spans", "new_spans")).alias("spans"))
 
 
