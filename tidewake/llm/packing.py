@@ -113,14 +113,14 @@ class WordEncoder:
             return _MARK
 
         clean = [_FOREIGN.sub(alien, t) if "<|" in t or _UNSAFE.search(t) else t for t in texts]
-        raw = _LOWER[np.frombuffer(("\n".join(clean) + "\n").encode("latin-1"), np.uint8)]
+        raw = _LOWER[np.frombuffer(("\n".join(clean) + "\n\n\n").encode("latin-1"), np.uint8)]  # room to look two characters ahead
         kind = _CLASS[raw]
         edge = np.empty(len(raw), bool)
         edge[0] = True
         np.not_equal(kind[1:], kind[:-1], out=edge[1:])
         edge |= (kind == _DIGIT) | (kind == _ALIEN)
         # contractions: a mark at the start of a run, and the letters after it
-        quote = np.flatnonzero((raw[:-3] == 39) & edge[:-3] & (kind[1:-2] == _LETTER)) if len(raw) > 3 else np.zeros(0, np.int64)
+        quote = np.flatnonzero((raw[:-2] == 39) & edge[:-2] & (kind[1:-1] == _LETTER))
         one, two = raw[quote + 1], raw[quote + 2]
         length = np.where(np.isin(one, _SHORT), 2, np.where((np.isin(one, _LONG) & (two == 101)) | ((one == 108) & (two == 108)), 3, 0))
         quote, length = quote[length > 0], length[length > 0]
