@@ -32,11 +32,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates: five-word shingles, Jaccard 0.8 or more. Rows of one id give one row; rows without an id stay."""
+    """The document of smallest id of each group of near duplicates: five-word shingles, Jaccard 0.8 or more. Repeated rows of one id and text give one row; rows without an id stay."""
     docs = docs.select(*COLUMNS)
     groups = similar_components(docs)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("packing", packing)]
-#: SQL can express neither the trained classifier nor the differencing; tests/llm holds the stages against brute force.
+#: SQL can express neither the trained classifier nor the differencing; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
