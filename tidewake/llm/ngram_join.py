@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -79,7 +79,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         limit = (den - num) * top // num  # the most elements in which a pair of the band may differ
         if limit == 0:
             continue
-        groups = limit // 2 + 1 + limit // 16
+        groups = limit // 2 + 1 + limit // 32
         k = (den - num) * size // num if band == own else (den - num) * (size + top) // (den + num)
         part = (((spread >> np.uint64(33)) * np.uint64(3 * groups)) >> np.uint64(31)).astype(np.int64)
         count = np.bincount(part, minlength=3 * groups).reshape(groups, 3)
@@ -242,11 +242,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # an id with several texts ties their classes together
     named = member.where("rep IS NOT NULL").groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all"))
     ties = named.where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b")
-    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", F.explode("sigs").alias("sig")).repartition("sig")
-    # ids and signatures are shuffled once: the count and the join read the same exchange, and the join streams a signature's rows
-    # past its one count. What only one class signs is gone after it
-    shared = own.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-    live = space.save(own.join(shared, "sig").distinct(), "live")
+    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", F.explode("sigs").alias("sig"))
+    # one shuffle of ids and signatures; what only one class signs is gone after it. A signature has at most a row of sixteen bytes
+    # of each class; a window spills what it does not hold
+    live = space.save(own.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").distinct(), "live")
     sizes = signed.groupBy("d").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     score = space.save(live.groupBy("d").agg(F.sum("c").alias("score")).join(sizes, "d"), "scores")
     live = space.save(live.drop("c").join(score, "d").withColumn("label", F.col("d")), "scored")
