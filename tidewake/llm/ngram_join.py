@@ -21,6 +21,8 @@ STRONG = 3
 BLOCK, GROUP = 400_000, 1_000_000
 #: Ids that may be broadcast, of eight bytes each.
 SMALL = 4_000_000
+#: Copies that may be broadcast, of three numbers each.
+COPIES = 1_000_000
 _MEMO = 200_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -242,7 +244,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # an id with several texts ties their classes together
     named = member.where("rep IS NOT NULL").groupBy("d").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all"))
     ties = named.where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b")
-    own = signed.join(classes.withColumnRenamed("rep", "d"), ["d", "f1", "f2"], "left_semi").select("d", F.explode("sigs").alias("sig"))
+    # all but the smallest id of a class go no further: few enough of them are broadcast to the signatures, else both are shuffled
+    copies = member.where("d <> rep").select("d", "f1", "f2").distinct()
+    copies = F.broadcast(copies) if copies.count() <= COPIES else copies
+    own = signed.where("n > 0 AND d IS NOT NULL").join(copies, ["d", "f1", "f2"], "left_anti").select("d", F.explode("sigs").alias("sig"))
     # one shuffle of ids and signatures; what only one class signs is gone after it. A signature has at most a row of sixteen bytes
     # of each class; a window spills what it does not hold
     live = space.save(own.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").distinct(), "live")
