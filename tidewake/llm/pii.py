@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import SPACE, WORD, Workspace
 
+#: Patterns that a text's words are held against in place.
+LOOKUP = 5000
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns, written so that Java matches them without recursion and without rescanning long runs:
@@ -91,19 +93,35 @@ def score_patterns(edges: DataFrame, space: Workspace, *, rounds: int = 3, suppo
     return patterns
 
 
-def _plain_spots(texts: DataFrame, wanted: DataFrame, base: DataFrame) -> DataFrame:
-    """Words without a digit or an at sign, outside base spans, in the slot of a wanted pattern; places are worked out for those alone."""
-    word = lambda i: F.get(F.col("_w"), i)
-    split = texts.where("t <> ''").select("uid", F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)).alias("_words"))
-    split = split.select("uid", "_words", F.transform("_words", lambda x: F.lower(x)).alias("_w")).where(F.size("_w") > 1)
-    slots = split.select("uid", F.posexplode(F.transform("_words", lambda x, i: F.struct(x.alias("m"), F.concat(F.lit("l "), word(i - 2), F.lit(" "), word(i - 1)).alias("l"), F.concat(F.lit("c "), word(i - 1), F.lit(" _ "), word(i + 1)).alias("c")))).alias("i", "x"))
-    slots = slots.where(~F.col("x.m").rlike("[0-9@]"))
-    hits = slots.select("uid", "i", F.col("x.m").alias("m"), F.explode(F.array_compact(F.array("x.l", "x.c"))).alias("pattern")).join(wanted, "pattern", "left_semi")
+def _plain_hits(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, i, instance, pattern): words without a digit or an at sign in the slot of a wanted pattern, by their place among the words.
+
+    Slots are compared by hash. Up to LOOKUP patterns are held against in the expression, so that nothing but hits leaves
+    a text; more are joined, with equal results.
+    """
+    part = F.split("pattern", " ")
+    wanted = wanted.select("pattern", F.xxhash64(F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.element_at(part, -1)).alias("h"))
+    known = [r["h"] for r in wanted.select("h").limit(LOOKUP + 1).collect()]
+    words = texts.select("uid", F.split(F.btrim(F.lower("t"), F.lit(_TRIM)), f"[{SPACE}]+").alias("w")).where(F.size("w") > 2)
+    some = lambda at: F.slice("w", at, F.size("w") - 2)
+    left = F.zip_with(some(1), some(2), lambda x, y: F.xxhash64(F.lit("l"), x, y))
+    around = F.zip_with(some(1), some(3), lambda x, y: F.xxhash64(F.lit("c"), x, y))
+    slots = F.concat(F.transform(left, lambda h, j: F.struct(h.alias("h"), (j + 2).alias("i"))), F.transform(around, lambda h, j: F.struct(h.alias("h"), (j + 1).alias("i"))))
+    if len(known) <= LOOKUP:
+        slots = F.filter(slots, lambda x: x["h"].isin(known)) if known else F.filter(slots, lambda x: F.lit(False))
+    hits = words.select("uid", "w", F.explode(slots).alias("x")).select("uid", "x.h", "x.i", F.get("w", F.col("x.i")).alias("m"))
+    return hits.where(~F.col("m").rlike("[0-9@]")).join(wanted, "h").select("uid", "i", F.xxhash64("m").alias("instance"), "pattern")
+
+
+def _plain_places(texts: DataFrame, hits: DataFrame, base: DataFrame) -> DataFrame:
+    """(uid, start, end) of words by their place among a text's words, outside base spans."""
+    spots = hits.groupBy("uid").agg(F.collect_set("i").alias("places"))
     total = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x))
-    start = total(F.slice(F.split("t", WORD, -1), 1, F.col("i") + 1)) + total(F.slice(F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("i")))
-    placed = hits.join(texts.select("uid", "t"), "uid").select("uid", start.alias("start"), "m", "pattern").withColumn("end", F.col("start") + F.char_length("m"))
+    split = texts.join(spots, "uid").select("uid", "places", F.split("t", WORD, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    start = F.transform("places", lambda i: F.struct((total(F.slice("gaps", F.lit(1), i + 1)) + total(F.slice("words", F.lit(1), i))).alias("start"), F.char_length(F.get("words", i)).alias("n")))
+    placed = split.select("uid", F.explode(start).alias("x")).select("uid", F.col("x.start").alias("start"), (F.col("x.start") + F.col("x.n")).alias("end"))
     inside = F.exists("base_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return placed.join(base, "uid", "left").where(~F.coalesce(inside, F.lit(False))).select("uid", "start", "end", F.lit(False).alias("base"), F.lit(False).alias("seed"), F.xxhash64("m").alias("instance"), "pattern")
+    return placed.join(base, "uid", "left").where(~F.coalesce(inside, F.lit(False))).select("uid", "start", "end")
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = 5, confidence: float = 0.8, rounds: int = 3, grow: int = 1) -> DataFrame:
@@ -151,9 +169,10 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         promoted = spots.where("NOT seed").join(good.select("pattern"), "pattern", "left_semi").select("instance", F.lit(True).alias("found")).distinct()
         spots = space.save(spots.join(promoted, "instance", "left").withColumn("seed", F.col("seed") | F.coalesce("found", F.lit(False))).drop("found"), "spots")
     wanted = space.save(spots.where("seed").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= support).select("pattern"), "wanted")
-    spots = spots.unionByName(space.save(_plain_spots(texts, wanted, base), "plain"))
-    good = confident(spots)
-    new = spots.where("NOT base").join(good.select("pattern"), "pattern", "left_semi").select("uid", "start", "end").union(secrets)
+    plain = space.save(_plain_hits(texts, wanted), "plain")
+    good = space.save(confident(spots.select("pattern", "instance", "seed").unionByName(plain.select("pattern", "instance", F.lit(False).alias("seed")))).select("pattern"), "good")
+    new = spots.where("NOT base").join(good, "pattern", "left_semi").select("uid", "start", "end").union(secrets)
+    new = new.union(_plain_places(texts, plain.join(good, "pattern", "left_semi"), base))
     new = new.groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new_spans"))
     out = found.select("uid", "doc_id").join(base, "uid", "left").join(new, "uid", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
