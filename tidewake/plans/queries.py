@@ -15,7 +15,7 @@ from ..operators.laytime import EXCEPTIONS, assess_laytime, priceability, voyage
 from ..operators.rules import registry
 from ..operators.sof import document_windows, reconcile, select_calls
 from ..operators.track import fleet_state, scope_summary, ships_log
-from .feed import Feed, query as _query
+from .feed import ORACLE_SQL, QUERIES, Feed, query as _query  # noqa: F401  the registry is read here too
 
 def _s(c: str):
     return F.unix_seconds(c)
