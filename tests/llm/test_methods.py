@@ -149,3 +149,13 @@ def test_empty_and_long_input(spark):
     assert language_id.identify(docs, model).where(F.col("doc_id") == 8).first()["lang_pred"] == "en"
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)] * 2, "doc_id bigint, quality int")
     assert quality_classifier.score_quality(docs.union(docs), quality_classifier.train(docs, labels)).groupBy("doc_id").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0
+
+
+def test_language_of_a_group_of_texts_equals_that_of_each():
+    training = {"de": "ein kleiner baum am ufer der baum", "en": "a small tree by the shore the tree"}
+    texts = [*training.values(), "der Baum", "the tree and the shore", "", None, "123", "ab", "é", "x" * 70000, "qq tree zz"] * 5
+    model = language_id.LanguageModel({k: grams(t) for k, t in training.items()})
+    alone, together = [model.predict(t) for t in texts], model.predict_all(texts)
+    assert [a[0] for a in alone] == [t[0] for t in together]
+    assert np.allclose([a[1] for a in alone], [t[1] for t in together])
+    assert language_id.LanguageModel({}).predict_all(["a", None]) == [("und", 0.0)] * 2

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest
+from .common import crc_rest, text_groups
 
 ORDER = 3
 _LETTER = re.compile(r"[^\W\d_]")
@@ -18,6 +18,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _RUNS = re.compile(rb" +")
 STRETCH = 1 << 20
+#: Characters of the texts whose strings are looked up together.
+GROUP = 1 << 18
 
 
 def _bytes(text: str) -> bytes:
@@ -123,9 +125,42 @@ class LanguageModel:
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self._verdict(text, self.code_lengths(text or ""))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """predict() of every text; the strings of a group of texts are looked up together, so the cost of a look-up is shared."""
+        out: list[tuple[str, float]] = []
+        for _, group in text_groups(texts, texts, GROUP):
+            raws = [_bytes(t) for t in group]
+            bits = self._lengths(raws) if sum(map(len, raws)) <= STRETCH else [self.code_lengths(t) for t in group]
+            out += [self._verdict(t, b) for t, b in zip(group, bits)]
+        return out
+
+    def _lengths(self, raws: list[bytes]) -> np.ndarray:
+        """[text, language]: code lengths of short texts in bytes."""
+        b = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint32)
+        sizes = np.array([len(r) for r in raws])
+        ends = np.cumsum(sizes)
+        inside = np.ones(len(b), bool)
+        for back in range(1, ORDER + 1):
+            inside[ends - back] = False
+        grams = ((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])[inside[:-3]]
+        place = _find(self.grams[ORDER], grams)
+        known = place >= 0
+        cost = np.empty((len(grams), len(self.languages)))
+        cost[known] = self.known[place[known]]
+        rest, which = np.unique(grams[~known], return_inverse=True)
+        cost[~known] = self.costs(rest)[which]
+        some = sizes > ORDER
+        total = np.zeros((len(raws), len(self.languages)))
+        if some.any():
+            begin = np.cumsum(sizes - ORDER) - (sizes - ORDER)
+            total[some] = np.add.reduceat(cost, begin[some])
+        return total
+
+    def _verdict(self, text: str | None, bits: np.ndarray) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
             return "und", 0.0
-        bits = self.code_lengths(text or "")
         p = np.exp2(np.clip(bits.min() - bits, -1000, 0))
         best = int(bits.argmin())
         return self.languages[best], float(p[best] / p.sum())
@@ -170,7 +205,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column(1)]
+            got = m.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
