@@ -138,6 +138,49 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, u.i AS piece, u.t AS t
+  FROM (SELECT lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS parts FROM documents),
+       LATERAL (SELECT unnest(parts) AS t, generate_subscripts(parts, 1) AS i) u
+), split AS (
+  SELECT lang, doc_id, piece, regexp_extract_all(t, '[^\\x20\\x09]+') AS ws FROM pieces
+), words AS (
+  SELECT lang, doc_id, piece, ws, unnest(range(1, len(ws) + 1)) AS pos FROM split
+), phrases AS (
+  SELECT lang, m, array_to_string(ws[pos:pos + m - 1], ' ') AS phrase FROM words, (SELECT unnest(range(1, 5)) AS m) WHERE pos + m - 1 <= len(ws)
+), freq AS (
+  SELECT lang, phrase, m, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, count(*) AS n FROM phrases WHERE m = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, string_split(c.phrase, ' ') AS ws, c.m FROM freq c, (SELECT unnest(range(1, 4)) AS k) WHERE k < c.m
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM cuts c JOIN freq x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:c.k], ' ')
+              JOIN freq y ON y.lang = c.lang AND y.phrase = array_to_string(ws[c.k + 1:c.m], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, f, unnest(list_concat([array_to_string(ws[i:i + 1], ' ') for i in range(1, m)], CASE WHEN m = 4 THEN [array_to_string(ws[i:i + 2], ' ') for i in range(1, 3)] ELSE [] END)) AS sub
+  FROM (SELECT lang, f, m, string_split(phrase, ' ') AS ws FROM freq WHERE m > 2)
+), longest AS (
+  SELECT lang, sub, max(f) AS f FROM inner_parts GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longest g ON g.lang = b.lang AND g.sub = b.phrase WHERE g.f IS NULL OR 100 * g.f < 80 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
@@ -151,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op12_substring_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op12_substring_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
