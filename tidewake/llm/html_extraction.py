@@ -20,8 +20,6 @@ _NAME = re.compile("[a-zA-Z][a-zA-Z0-9:-]*")
 _RAW_NAME = re.compile(r"(?:" + "|".join(sorted(RAW)) + r")\b", re.I)
 _RAW_END = re.compile(r"</(" + "|".join(sorted(RAW)) + r")\s*>", re.I)
 _STOP = re.compile("[>\"']")
-#: A tag's attributes longer than this end at their first bracket, quoted or not.
-LONGEST_TAG = 1 << 16
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -44,11 +42,12 @@ def _markup(page: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
     """(start, end, name, whether it closes, attributes, raw element's name) of comments, tags and raw elements in order; a name is empty where no element begins or ends.
 
     Every search runs forward from the last end, and what is missing once (a bracket, a closing quote, the end of a raw
-    element) is not looked for again, so the pass is linear whatever the page holds.
+    element) is not looked for again, so the pass is linear whatever the page holds, and attributes may be of any length.
     """
     at, n = 0, len(page)
     last_end, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
     raw_ends: dict[str, list[int]] | None = None
+    open_ended: set[int] = set()  # quotes from which on no bracket outside of quotes is left
     while (at := page.find("<", at)) >= 0:
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
@@ -84,14 +83,17 @@ def _markup(page: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
             else:
                 at += 1
             continue
-        spot, end = name.end(), 0
-        while spot - name.end() < LONGEST_TAG and (m := _STOP.search(page, spot)):
+        spot, end, quotes = name.end(), 0, []
+        while m := _STOP.search(page, spot):
             if m.group() == ">":
                 end = m.end()
                 break
-            if m.start() >= last_quote[m.group()]:
+            if m.start() >= last_quote[m.group()] or m.start() in open_ended:
                 break
+            quotes.append(m.start())
             spot = page.index(m.group(), m.end()) + 1
+        if not end:
+            open_ended.update(quotes)
         end = end or page.find(">", name.end()) + 1
         yield at, end, name.group().lower(), closes, page[name.end() : end - 1], ""
         at = end
