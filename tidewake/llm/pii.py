@@ -25,12 +25,21 @@ MARKED_WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 #: Formats of keys that name themselves; seeds beside the base spans.
 SECRET = r"^[\"'`(]*(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128})[\"'`);,.]*$"
 _TRIM = " \t\n\x0b\x0c\r"
+#: Marks at the ends of a word that are no part of an identifier; a comma or full stop stays.
+_EDGE = r"[\"'`#!*()\[\]{}<>“”‘’«»]*"
 
 
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def _edges(m: Column) -> tuple[Column, Column]:
+    """Lengths of the marks before and after an identifier in its word; none where the word is nothing but marks."""
+    lead, trail = (F.char_length(F.regexp_extract(m, p, 0)) for p in (f"^{_EDGE}", f"{_EDGE}$"))
+    some = lead < F.char_length(m)
+    return F.when(some, lead).otherwise(0), F.when(some, trail).otherwise(0)
+
+
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         part = F.split(m, "\\.")
@@ -59,7 +68,8 @@ def _found(text: Column, pattern: str, gate: Column, context: bool = False) -> C
             blank = lambda k: F.coalesce(F.trim(F.get(F.col("_between"), i + k)) == "", F.lit(False))
             second = F.when(blank(1), F.get(F.col("_matches"), i + 1))
             whole = F.concat_ws(" ", m, second, F.when(second.isNotNull() & blank(2), F.get(F.col("_matches"), i + 2)))
-            fields += [m.rlike(SECRET).alias("secret"), F.xxhash64(whole).alias("whole"), F.regexp_replace(tail, rf"[{SPACE}]+", " ").alias("left2"), near.alias("left1"), after.alias("right1")]
+            lead, trail = _edges(m)
+            fields += [lead.alias("lead"), trail.alias("trail"), m.rlike(SECRET).alias("secret"), F.xxhash64(whole).alias("whole"), F.regexp_replace(tail, rf"[{SPACE}]+", " ").alias("left2"), near.alias("left1"), after.alias("right1")]
         return F.struct(*fields)
 
     if context:
@@ -118,8 +128,9 @@ def _plain_places(texts: DataFrame, hits: DataFrame, base: DataFrame) -> DataFra
     spots = hits.groupBy("uid").agg(F.collect_set("i").alias("places"))
     total = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x))
     split = texts.join(spots, "uid").select("uid", "places", F.split("t", WORD, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)).alias("words"))
-    start = F.transform("places", lambda i: F.struct((total(F.slice("gaps", F.lit(1), i + 1)) + total(F.slice("words", F.lit(1), i))).alias("start"), F.char_length(F.get("words", i)).alias("n")))
-    placed = split.select("uid", F.explode(start).alias("x")).select("uid", F.col("x.start").alias("start"), (F.col("x.start") + F.col("x.n")).alias("end"))
+    start = F.transform("places", lambda i: F.struct((total(F.slice("gaps", F.lit(1), i + 1)) + total(F.slice("words", F.lit(1), i))).alias("start"), F.get("words", i).alias("m")))
+    lead, trail = _edges(F.col("x.m"))
+    placed = split.select("uid", F.explode(start).alias("x")).select("uid", (F.col("x.start") + lead).alias("start"), (F.col("x.start") + F.char_length("x.m") - trail).alias("end"))
     inside = F.exists("base_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     return placed.join(base, "uid", "left").where(~F.coalesce(inside, F.lit(False))).select("uid", "start", "end")
 
@@ -129,7 +140,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Base spans and words in the format of a key are seeds; the latter are spans of kind `id`. The words around a seed (two to the left, or one on either side) are its patterns; all other
     words in the same contexts, with a digit or without, are the other instances. Patterns are scored over the graph of all documents, and
-    where a pattern of enough seeds is confident, its other instances become spans of kind `id`. Instances with a digit
+    where a pattern of enough seeds is confident, its other instances become spans of kind `id`, without the quotes and other marks around them. A base span is
+    one instance, whatever its words. Instances with a digit
     that a confident pattern finds are seeds of one further pass (`grow`), in which patterns without base seeds can rise.
 
     One pass over the texts leaves matches, gaps and contexts only; another looks up the contexts of all plain words
@@ -152,13 +164,16 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = space.save(df.select("uid", "doc_id", *[_found(F.col("t"), PATTERNS[k], g).alias(k) for k, g in gates.items()], _found(F.col("t"), MARKED_WORD, marked, True).alias("words")), "found")
     base = None
     for number, kind in enumerate(KINDS[:4]):
-        part = _placed(found, kind).where(_valid(kind, F.col("x.m"))).select("uid", "start", F.lit(number).alias("kind"), "end")
+        part = _placed(found, kind).where(_valid(kind, F.col("x.m"))).select("uid", "start", F.lit(number).alias("kind"), "end", F.xxhash64("x.m").alias("is"))
         base = part if base is None else base.unionByName(part)
-    base = space.save(base.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("base_spans")), "base")
-
-    words = _placed(found, "words").select("uid", "start", "end", F.col("x.whole").alias("instance"), F.col("x.secret").alias("secret"), F.col("x.left2").alias("left2"), F.col("x.left1").alias("left1"), F.col("x.right1").alias("right1"))
-    inside = F.exists("base_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    words = words.join(base, "uid", "left").withColumn("base", F.coalesce(inside, F.lit(False))).drop("base_spans")
+    told = space.save(base.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "is"))).alias("told")), "base")
+    base = told.select("uid", F.transform("told", lambda s: s.dropFields("is")).alias("base_spans"))
+
+    words = _placed(found, "words").select("uid", "start", "end", "x.lead", "x.trail", F.col("x.whole").alias("whole"), F.col("x.secret").alias("secret"), F.col("x.left2").alias("left2"), F.col("x.left1").alias("left1"), F.col("x.right1").alias("right1"))
+    # what a base span holds is one instance, of however many words
+    over = F.get(F.filter("told", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(0))
+    words = words.join(told, "uid", "left").withColumn("over", over).withColumn("base", F.col("over").isNotNull()).withColumn("instance", F.coalesce("over.is", "whole"))
+    words = words.withColumn("start", F.col("start") + F.when(F.col("base"), 0).otherwise(F.col("lead"))).withColumn("end", F.col("end") - F.when(F.col("base"), 0).otherwise(F.col("trail")))
     patterns = F.array_compact(F.array(F.when(F.col("left2") != "", F.concat(F.lit("l "), "left2")), F.when((F.col("left1") != "") & (F.col("right1") != ""), F.concat(F.lit("c "), "left1", F.lit(" _ "), "right1"))))
     spots = space.save(words.select("uid", "start", "end", "base", "secret", (F.col("base") | F.col("secret")).alias("seed"), "instance", F.explode_outer(patterns).alias("pattern")), "spots")
     secrets = spots.where("secret AND NOT base").select("uid", "start", "end").distinct()
