@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Words of a stretch of texts of one language that is written as one row.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
+#: Phrases that a task sums up before it passes them on.
+SUMMED = 1_000_000
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
 BLOCK = 1_000_000
 #: Parts of a language's candidates whose best are found first.
@@ -181,11 +183,23 @@ def _keys(words: int) -> list[str]:
     return [f"k{i}" for i in range(words)]
 
 
+def _schema(words: int) -> str:
+    return ", ".join(f"{c} long" for c in [*_keys(words), "n"])
+
+
 def _longer(trie, level: int, whole: bool) -> Callable:
-    """Phrases of `level` words whose first level-1 the trie accepts (and whose last ones, if it holds all), with their occurrences in the stretch."""
+    """(p, k, n): phrases of `level` words whose first level-1 are the trie's phrase p (and whose last ones are another, if it holds all), their last word's key, and occurrences."""
+
+    def emit(parts: list) -> pa.RecordBatch:
+        p, k, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((k, p))
+        p, k, n = p[order], k[order], n[order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(k[new]), pa.array(np.add.reduceat(n, np.flatnonzero(new)))], names=["p", "k", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: DoubleArray = trie.value
+        parts, size = [], 0
         for batch in batches:
             for codes, keys in _stretches(batch):
                 text = np.concatenate([[-1], t.symbols(keys)])[codes]
@@ -199,9 +213,27 @@ def _longer(trie, level: int, whole: bool) -> Callable:
                 word = codes[begin + level - 1]
                 begin, word = begin[word > 0], word[word > 0]
                 pairs, counts = np.unique(phrase[begin] * (len(keys) + 1) + word, return_counts=True)
-                known = t.phrases[pairs // (len(keys) + 1)].copy()
-                known[:, level - 1] = keys[pairs % (len(keys) + 1) - 1]
-                yield _emit(known, counts)
+                if len(pairs):
+                    parts.append((pairs // (len(keys) + 1), keys[pairs % (len(keys) + 1) - 1], counts.astype(np.int64)))
+                    size += len(pairs)
+                if size >= SUMMED:
+                    yield emit(parts)
+                    parts, size = [], 0
+        if parts:
+            yield emit(parts)
+
+    return run
+
+
+def _spelled(trie, level: int) -> Callable:
+    """The word keys of (p, k, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: DoubleArray = trie.value
+        for batch in batches:
+            phrases = t.phrases[batch.column("p").to_numpy()].copy()
+            phrases[:, level - 1] = batch.column("k").to_numpy()
+            yield _emit(phrases, batch.column("n").to_numpy())
 
     return run
 
@@ -223,10 +255,9 @@ def _counted(trie, levels: int) -> Callable:
     return run
 
 
-def _passes(chunks: DataFrame, phrases: DataFrame, words: int, make: Callable, space: Workspace) -> DataFrame:
-    """What a pass over all stretches makes with the trie of the phrases: one trie at a time, of BLOCK phrases or about."""
-    spark, cols = chunks.sparkSession, _keys(words)
-    schema = ", ".join(f"{c} long" for c in [*cols, "n"])
+def _passes(phrases: DataFrame, words: int, run: Callable, space: Workspace) -> DataFrame:
+    """What run(trie, whether it holds all) makes of the tries of the phrases, one trie of about BLOCK phrases at a time."""
+    spark, cols = phrases.sparkSession, _keys(words)
     blocks = max(1, -(-phrases.count() // BLOCK))
     parts = []
     for b in range(blocks):
@@ -234,12 +265,12 @@ def _passes(chunks: DataFrame, phrases: DataFrame, words: int, make: Callable, s
         table = own.select(*cols).toArrow()
         if table.num_rows:
             trie = spark.sparkContext.broadcast(DoubleArray(np.column_stack([table.column(c).to_numpy() for c in cols])))
-            parts.append(chunks.mapInArrow(make(trie, blocks == 1), schema))
+            parts.append(run(trie, blocks == 1))
             if blocks > 1:
                 parts[-1] = space.save(parts[-1], "pass")
                 trie.destroy()
     if not parts:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _schema(words))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -270,12 +301,17 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = space.save(words.where(F.col("n") >= min_count).select("lang", F.col("words").alias("word"), F.col("keys").alias("k0"), *[F.lit(0).cast("long").alias(c) for c in cols[1:]], "n"), "frequent")
     chunks = chunks.select("codes", "keys")
-    level, candidates = frequent, None
+    level, candidates, schema = frequent, None, _schema(max_words)
     for size in range(2, max_words + 1):
-        found = _passes(chunks, level, max_words, lambda trie, whole, size=size: _longer(trie, size, whole), space)
-        level = space.save(found.groupBy(*cols).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select(*cols), f"level{size}")
+
+        def longer(trie, whole: bool, size: int = size) -> DataFrame:
+            # a phrase's first words are in one trie only, so its sum is whole
+            found = chunks.mapInArrow(_longer(trie, size, whole), "p long, k long, n long").groupBy("p", "k").agg(F.sum("n").alias("n"))
+            return found.where(F.col("n") >= min_count).mapInArrow(_spelled(trie, size), schema)
+
+        level = space.save(_passes(level, max_words, longer, space).select(*cols), f"level{size}")
         candidates = level if candidates is None else candidates.unionByName(level)
-    counted = _passes(chunks, candidates, max_words, lambda trie, whole: _counted(trie, max_words), space)
+    counted = _passes(candidates, max_words, lambda trie, whole: chunks.mapInArrow(_counted(trie, max_words), schema), space)
     counted = space.save(counted.groupBy(*cols).agg(F.sum("n").alias("a")), "counted")
 
     freq = frequent.select(*cols, F.col("n").alias("f")).unionByName(counted.select(*cols, F.col("a").alias("f")))
