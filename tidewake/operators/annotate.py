@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import PairRule, pair_rules, with_distance
@@ -31,8 +31,12 @@ def annotate(fixes: DataFrame, rules: list[PairRule] | None = None) -> tuple[Dat
     """
     rules = rules if rules is not None else pair_rules()
     df = judge_pairs(fixes, rules)
+    return flag_both(df, F.coalesce(F.lead("pair_hits").over(vessel_order()), F.array().cast("array<string>")), rules)
+
+
+def flag_both(df: DataFrame, after: Column, rules: list[PairRule]) -> tuple[DataFrame, DataFrame]:
+    """annotate()'s two results from fixes with pair_hits and those of the fix after."""
     own = F.array(*[F.lit(r.id) for r in rules])
-    after = F.coalesce(F.lead("pair_hits").over(vessel_order()), F.array().cast("array<string>"))
     flagged = df.withColumn("quality_flags", F.array_distinct(F.concat(F.array_except("quality_flags", own), "pair_hits", after)))
     hits = df.select(F.explode("pair_hits").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("hits"))
-    return flagged.drop("pair_hits"), hits
+    return flagged.drop("pair_hits", "_after"), hits

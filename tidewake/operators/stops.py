@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import elapsed_s, haversine_nm
@@ -45,26 +45,37 @@ def detect_stops(fixes: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     df = df.withColumn("_lat", F.avg(F.when(F.col("reliable"), F.col("lat"))).over(stop)).withColumn("_lon", F.avg(F.when(F.col("reliable"), F.col("lon"))).over(stop))
     df = df.withColumn("_drift", F.when(F.col("reliable"), haversine_nm("_lat", "_lon", "lat", "lon")))
     df = df.withColumn("_claims", F.count("*").over(Window.partitionBy("mmsi", "seg", "stop_no", "nav_status")))
-    at = F.struct(*ORDER)
     said = F.col("nav_status").isNotNull() & (F.col("nav_status") != "")
-    deep = F.when(F.col("draught_m").isNotNull(), at)
-    key = F.struct("ingest_run_id", "source_line")
     stops = df.groupBy("mmsi", "seg", "stop_no").agg(
-        F.min("ts_utc").alias("started_utc"),
-        F.max("ts_utc").alias("ended_utc"),
         F.first("_lat").alias("centroid_lat"),
         F.first("_lon").alias("centroid_lon"),
         F.max("_drift").alias("max_drift_nm"),
+        F.min_by("nav_status", F.when(said, F.struct((-F.col("_claims")).alias("n"), "nav_status"))).alias("reported_status"),
+        *stop_figures(),
+    )
+    return finish_stops(stops, th)
+
+
+def stop_figures() -> list[Column]:
+    """Aggregates of a stop's marked fixes that need no other fix: bounds, counts, how it begins and ends."""
+    at, key = F.struct(*ORDER), F.struct("ingest_run_id", "source_line")
+    deep = F.when(F.col("draught_m").isNotNull(), at)
+    return [
+        F.min("ts_utc").alias("started_utc"),
+        F.max("ts_utc").alias("ended_utc"),
         F.count("*").alias("fix_count"),
         F.count_if("reliable").alias("reliable_fix_count"),
-        F.min_by("nav_status", F.when(said, F.struct((-F.col("_claims")).alias("n"), "nav_status"))).alias("reported_status"),
         F.bool_and("closed").alias("_closed"),
         F.min_by("edge", at).alias("_edge"),
         F.min_by("draught_m", deep).alias("draught_first_m"),
         F.max_by("draught_m", deep).alias("draught_last_m"),
         F.min_by(key, at).alias("first_fix"),
         F.max_by(key, at).alias("last_fix"),
-    )
+    ]
+
+
+def finish_stops(stops: DataFrame, th: Thresholds) -> DataFrame:
+    """The stops that count, with what follows from their figures."""
     duration = elapsed_s("started_utc", "ended_utc")
     stops = stops.where((F.col("fix_count") >= 2) & (duration >= th.minimum_stop_s) & (F.col("reliable_fix_count") >= 1))
     return stops.select(
