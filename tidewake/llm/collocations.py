@@ -44,11 +44,14 @@ class _Stretch(dict):
 
     def row(self, lang: str) -> pa.RecordBatch:
         codes, words = np.concatenate(self.parts), list(self)[2:]
-        keys = np.asarray([xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + w) for w in words], np.uint64).view(np.int64)
+        # the words' keys are what Spark's xxhash64 makes of language and word
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+        keys = np.asarray([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
         counts = np.bincount(codes, minlength=len(words) + 1)[1:]
-        columns = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(keys), pa.array(counts, pa.int64())]
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays([pa.array([lang]), one(pa.array(codes)), *map(one, columns)], names=["lang", "codes", "words", "keys", "counts"])
+        # numbers as bytes: they pass from Spark to a task and back at once, not one by one
+        columns = [pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary()), one(pa.array(words, pa.binary()).cast(pa.string())), one(pa.array(counts, pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "codes", "keys", "words", "counts"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,7 @@ class DoubleArray:
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for codes, keys in zip(batch.column("codes"), batch.column("keys")):
-        yield codes.values.to_numpy(), keys.values.to_numpy()
+        yield np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(keys.as_buffer(), np.int64)
 
 
 def _emit(phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -295,11 +298,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     space = Workspace(docs.sparkSession, "phrases")
     cols = _keys(max_words)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    chunks = space.save(texts.mapInArrow(_encode, "lang string, codes array<int>, words array<string>, keys array<long>, counts array<long>"), "stretches")
-    words = chunks.select("lang", F.inline(F.arrays_zip("words", "keys", "counts"))).groupBy("lang", "words", "keys").agg(F.sum("counts").alias("n"))
+    chunks = space.save(texts.mapInArrow(_encode, "lang string, codes binary, keys binary, words array<string>, counts array<int>"), "stretches")
+    words = chunks.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
     words = space.save(words, "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = space.save(words.where(F.col("n") >= min_count).select("lang", F.col("words").alias("word"), F.col("keys").alias("k0"), *[F.lit(0).cast("long").alias(c) for c in cols[1:]], "n"), "frequent")
+    frequent = space.save(words.where(F.col("n") >= min_count).select("lang", "word", F.xxhash64("lang", "word").alias("k0"), *[F.lit(0).cast("long").alias(c) for c in cols[1:]], "n"), "frequent")
     chunks = chunks.select("codes", "keys")
     level, candidates, schema = frequent, None, _schema(max_words)
     for size in range(2, max_words + 1):
