@@ -21,6 +21,8 @@ CHUNK_ROWS = 2_000_000
 #: Seconds of a track that are never cut.
 BUCKET_S = 600
 _KEY = ["mmsi", "chunk"]
+#: What the pair rules and gaps ask of the fix before.
+PREV = ["ts_utc", "lat", "lon", "sog_kn"]
 
 
 def _within_chunk():
@@ -38,28 +40,38 @@ def chunk_tracks(fixes: DataFrame, rows: int = CHUNK_ROWS, bucket_s: int = BUCKE
     return fixes.withColumn("_bucket", bucket).join(moved, ["mmsi", "_bucket"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("_bucket")
 
 
-def annotate_chunks(fixes: DataFrame, rules: list[PairRule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """annotate() over chunks: a pair across a boundary is judged on the ends of the chunks alone."""
+def annotate_chunks(fixes: DataFrame, rules: list[PairRule] | None = None, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """annotate() over chunks: a pair across a boundary is judged on the ends of the chunks alone.
+
+    before: (mmsi, prev) of vessels whose tracks go on from a fix that is not in `fixes`, as a struct ts_utc, lat, lon, sog_kn.
+    """
     rules = rules if rules is not None else pair_rules()
-    before = F.struct("ts_utc", "lat", "lon", "sog_kn")
+    here = F.struct(*PREV)
     fired = F.array_compact(F.array(*[F.when(F.col("prev").isNotNull() & r.fires(), F.lit(r.id)) for r in rules]))
     at, v = F.struct(*ORDER), Window.partitionBy("mmsi").orderBy("chunk")
-    ends = fixes.groupBy(*_KEY).agg(F.min_by(F.struct(*[c for c in fixes.columns if c not in _KEY]), at).alias("first"), F.max_by(before, at).alias("last"))
-    ends = with_distance(ends.withColumn("prev", F.lag("last").over(v)).select(*_KEY, "prev", "first.*")).select(*_KEY, F.col("prev").alias("_before"), fired.alias("first_hits"))
+    ends = fixes.groupBy(*_KEY).agg(F.min_by(F.struct(*[c for c in fixes.columns if c not in _KEY]), at).alias("first"), F.max_by(here, at).alias("last"))
+    ends = ends.withColumn("prev", F.lag("last").over(v))
+    if before is not None:
+        ends = ends.join(before.select("mmsi", F.col("prev").alias("_held")), "mmsi", "left").withColumn("prev", F.coalesce("prev", "_held"))
+    ends = with_distance(ends.select(*_KEY, "prev", "first.*")).select(*_KEY, F.col("prev").alias("_before"), fired.alias("first_hits"))
     ends = ends.withColumn("_next_hits", F.lead("first_hits").over(v)).drop("first_hits")
     w = _within_chunk()
     df = fixes.join(ends, _KEY)
-    df = with_distance(df.withColumn("prev", F.coalesce(F.lag(before).over(w), F.col("_before")))).withColumn("pair_hits", fired).drop("prev", "dt_s", "nm", "_before")
+    df = with_distance(df.withColumn("prev", F.coalesce(F.lag(here).over(w), F.col("_before")))).withColumn("pair_hits", fired).drop("prev", "dt_s", "nm", "_before")
     df = df.withColumn("_after", F.coalesce(F.lead("pair_hits").over(w), "_next_hits", F.array().cast("array<string>"))).drop("_next_hits")
     return flag_both(df, F.col("_after"), rules)
 
 
-def mark_stops_chunks(fixes: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+def mark_stops_chunks(fixes: DataFrame, th: Thresholds = Thresholds(), before: DataFrame | None = None, *, keep: bool = False) -> DataFrame:
     """mark_stops() over chunks.
 
     A piece is what a gap-free stretch and a chunk have in common. Over the pieces of a vessel, in order, a segment begins
     where one starts after a gap, and within the segment the last signal, the leaves and the known speeds of the pieces
     before are carried in. A vessel has as many pieces as chunks and gaps, and a gap takes time, so they stay few.
+
+    before: (mmsi, prev, seg, n, known, leaves, signal) of vessels whose tracks go on: the fix before and the state of its
+    segment up to it, a piece like others. keep: the columns of the state stay, as _nth, _known, _leaves and _signal
+    (each with the fix itself), _signal_before.
     """
     w = _within_chunk()
     signal = F.when(F.col("sog_kn") < th.enter_stop_kn, 1).when(F.col("sog_kn") >= th.leave_stop_kn, 0)
@@ -68,9 +80,14 @@ def mark_stops_chunks(fixes: DataFrame, th: Thresholds = Thresholds()) -> DataFr
     pieces = df.groupBy(*_KEY, "piece").agg(
         F.count("*").alias("n"), F.count("sog_kn").alias("known"), F.count_if(F.col("_signal") == 0).alias("leaves"), F.max_by("_signal", F.when(F.col("_signal").isNotNull(), F.struct(*ORDER))).alias("signal"), F.min("ts_utc").alias("begin"), F.max("ts_utc").alias("end"),
     )
+    if before is not None:
+        held = before.select("mmsi", F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("piece"), "n", "known", "leaves", "signal", F.lit(None).cast("timestamp").alias("begin"), F.col("prev.ts_utc").alias("end"), "seg")
+        pieces = pieces.withColumn("seg", F.lit(0).cast("long")).unionByName(held)
+    else:
+        pieces = pieces.withColumn("seg", F.lit(0).cast("long"))
     v = Window.partitionBy("mmsi").orderBy("chunk", "piece")
     parted = F.coalesce(elapsed_s(F.lag("end").over(v), F.col("begin")) > th.coverage_gap_s, F.lit(False)).cast("int")
-    pieces = pieces.withColumn("_parted", parted).withColumn("seg", F.sum("_parted").over(v))
+    pieces = pieces.withColumn("_parted", parted).withColumn("seg", F.sum(F.col("_parted") + F.col("seg")).over(v))
     whole = Window.partitionBy("mmsi", "seg")
     past = whole.orderBy("chunk", "piece").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c)
@@ -85,12 +102,19 @@ def mark_stops_chunks(fixes: DataFrame, th: Thresholds = Thresholds()) -> DataFr
     df = df.withColumn("_nth", F.row_number().over(s) + F.col("_in.n")).withColumn("_known", F.count("sog_kn").over(s) + F.col("_in.known"))
     df = df.withColumn("seg", F.col("_in.seg")).withColumn("closed", F.col("_in.all_leaves") > F.col("_leaves"))
     edge = F.when(F.col("seg") == 0, F.col("_nth") == 1).otherwise(F.col("sog_kn").isNotNull() & (F.col("_known") == 1))
-    return df.withColumn("edge", edge).withColumn("stop_no", F.when(F.col("_rests"), F.col("_leaves"))).drop("_signal", "_in", "_rests", "_leaves", "_nth", "_known", "piece")
+    df = df.withColumn("edge", edge).withColumn("stop_no", F.when(F.col("_rests"), F.col("_leaves")))
+    if keep:
+        return df.withColumn("_signal_before", F.coalesce(F.last("_signal", ignorenulls=True).over(s.rowsBetween(Window.unboundedPreceding, -1)), F.col("_in.signal"))).drop("_in", "_rests", "piece")
+    return df.drop("_signal", "_in", "_rests", "_leaves", "_nth", "_known", "piece")
 
 
 def detect_stops_chunks(fixes: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """detect_stops() over chunks: a stop's figures are sums and extremes of its chunks' parts; its centroid goes back to every chunk that it spans for the drift."""
-    df = mark_stops_chunks(fixes, th).where("stop_no IS NOT NULL").withColumn("reliable", ~position_unreliable())
+    return stops_of_marks(mark_stops_chunks(fixes, th), th)
+
+
+def stops_of_marks(marked: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    df = marked.where("stop_no IS NOT NULL").withColumn("reliable", ~position_unreliable())
     stop = ["mmsi", "seg", "stop_no"]
     where = [F.avg(F.when(F.col("reliable"), F.col(c))).alias(f"_{c}") for c in ("lat", "lon")]
     figures = df.groupBy(*stop).agg(*where, *stop_figures())

@@ -96,12 +96,21 @@ def ingest(lines: DataFrame, log: DataFrame | None = None, vessels: DataFrame |
     return settle(judged, log, vessels, run_id=run_id, ship_type=ship_type)
 
 
-def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None) -> IngestResult:
+def _known(accepted: DataFrame, log: DataFrame) -> DataFrame:
+    """Adds old: the log has the natural key. Only vessel and time are join keys, as the log's buckets go by them; places are compared in what meets there."""
+    old = log.select(F.col("mmsi").alias("_mmsi"), F.col("ts_utc").alias("_ts"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.lit(True).alias("old"))
+    same_place = (F.col("lat") - F.col("_lat") == 0) & (F.col("lon") - F.col("_lon") == 0)
+    return accepted.join(old, (F.col("mmsi") == F.col("_mmsi")) & (F.col("ts_utc") == F.col("_ts")) & same_place, "left").drop("_mmsi", "_ts", "_lat", "_lon")
+
+
+def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None, log_buckets: int | None = None) -> IngestResult:
     """One run over judged rows. Every line falls in exactly one of filtered, quarantined, dup_in_file, dup_prior_run and inserted.
 
     Identities are merged over all parsed lines first. Then scope comes before refusal (an unparseable line has no
     vessel and is always refused), and duplicates are looked for among accepted lines in scope alone: the first in file
-    order stays, unless the log has its natural key. One shuffle on the vessel, one on the natural key.
+    order stays, unless the log has its natural key. One shuffle on the vessel, one on the natural key. A log that lies in
+    log_buckets buckets by vessel and time is joined where it lies: the lines are dealt to as many parts, and that serves
+    the duplicates in the file too.
     """
     found = merge_identity(judged)
     if ship_type is None:
@@ -112,12 +121,15 @@ def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame |
     bucket = F.when(F.col("parse_failure").isNull() & ~F.col("in_scope"), "filtered").when(F.col("reject").isNotNull(), "quarantined")
     judged = judged.withColumn("bucket", bucket)
     accepted = judged.where("bucket IS NULL")
+    if log_buckets is not None:
+        accepted = accepted.repartition(log_buckets, "mmsi", "ts_utc")
     first = F.row_number().over(Window.partitionBy(*NATURAL_KEY).orderBy("source_file", "source_line"))
     accepted = accepted.withColumn("nth", first)
     if log is None:
         accepted = accepted.withColumn("old", F.lit(False))
     else:
-        accepted = accepted.join(log.select(*NATURAL_KEY, F.lit(True).alias("old")), NATURAL_KEY, "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        met = accepted.join(log.select(*NATURAL_KEY, F.lit(True).alias("old")), NATURAL_KEY, "left") if log_buckets is None else _known(accepted, log)
+        accepted = met.withColumn("old", F.coalesce("old", F.lit(False)))
     accepted = accepted.withColumn("bucket", F.when(F.col("nth") > 1, "dup_in_file").when(F.col("old"), "dup_prior_run").otherwise("inserted"))
     buckets = judged.where("bucket IS NOT NULL").select("source_file", "source_line", "bucket").unionByName(accepted.select("source_file", "source_line", "bucket"))
     names = ["filtered", "inserted", "dup_in_file", "dup_prior_run", "quarantined"]

@@ -27,8 +27,10 @@ def kept_fixes(fixes: DataFrame, cutoff) -> DataFrame:
 def prune(store, cutoff: datetime, archive_dir: str) -> PruneResult:
     """Archives the calls that lose their fixes, reads the archive back, and only if every call is in it drops old fixes and all projections.
 
-    Every call before the cutoff is archived, however many there are. Nothing lost means no archive. Only the date
-    folders that the cutoff touches are rewritten or removed.
+    Every call before the cutoff is archived, however many there are. Nothing lost means no archive. One step of the
+    store makes the cut, the emptied projections and the event visible together; whole days before the cutoff are deleted
+    after it, and what is left of the cutoff's own day stays hidden. A prune that broke off has changed nothing but the archive, or
+    is done and leaves files for the next change to delete.
     """
     from ..sources.reference import archive_documents, read_archive
 
@@ -47,22 +49,6 @@ def prune(store, cutoff: datetime, archive_dir: str) -> PruneResult:
             expected = phases.join(losing.select("mmsi", "arrived_utc"), ["mmsi", "arrived_utc"], "left_semi").count()
             if back.count() != count or back_phases.count() != expected:
                 raise RuntimeError(f"the archive at {path} does not hold the {count} calls and {expected} phases it should; nothing was removed")
-    log = store.positions()
-    old = log.where(F.col("ts_utc") < F.lit(cutoff).cast("timestamp"))
-    removed = old.count()
-    touched = old.select("ingest_run_id", F.date_format("date", "yyyy-MM-dd").alias("date")).distinct().collect()  # one row per run and day
-    for run_id, date in ((r["ingest_run_id"], r["date"]) for r in touched):
-        folder = f"position_report/ingest_run_id={run_id}/date={date}"
-        if date == f"{cutoff:%Y-%m-%d}":
-            rest = kept_fixes(log.where((F.col("ingest_run_id") == run_id) & (F.col("date") == F.lit(date).cast("date"))), cutoff).drop("ingest_run_id", "date")
-            rest.write.mode("overwrite").parquet(f"{store.root}/_staging/{run_id}-{date}")
-            spark.read.parquet(f"{store.root}/_staging/{run_id}-{date}").write.mode("overwrite").parquet(f"{store.root}/{folder}")
-            store._delete(f"_staging/{run_id}-{date}")
-        else:
-            store._delete(folder)
-    if removed:
-        for name in ("stop_event", "port_call", "port_call_phase"):
-            if store.table(name) is not None:
-                store.replace(name, store.table(name).limit(0))
-    store.add_retention_event(applied, cutoff, removed, count, path)
+    removed = store.positions().where(F.col("ts_utc") < F.lit(cutoff).cast("timestamp")).count()
+    store.cut(cutoff, applied, removed, count, path)
     return PruneResult(removed, count, path)
