@@ -26,6 +26,7 @@ def export_sections(store, th: Thresholds = Thresholds()) -> dict[str, DataFrame
         "status_disagreement": reports.status_disagreement(stops),
         "vessels": reports.vessel_records(stops, fixes, vessels),
         "ports": reports.port_benchmarks(calls, th),
+        "port_observations": reports.port_observations(calls, th),
         "priceability": priceability(phases),
         "thresholds": thresholds_table(spark, th),
         "eta_bins": bins,

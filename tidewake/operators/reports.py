@@ -110,34 +110,54 @@ def destination_summary(counts: DataFrame) -> DataFrame:
     )
 
 
+def _usable(th: Thresholds) -> Column:
+    return F.col("is_complete") & (F.col("port_distance_nm") <= th.at_port_within_nm)
+
+
+def port_observations(calls: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """What a named port's usable calls were seen to take: port_wpi_number, kind (waiting, working), hours, calls, at_or_below (calls of so many hours or fewer) and usable_calls.
+
+    A row for each distinct value, so calls are counted before they meet; the order statistics are read off the running
+    count, and no task holds a port's values.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_hours").alias("hours")) for k in ("waiting", "working")])
+    values = calls.where(F.col("port_wpi_number").isNotNull() & _usable(th)).select("port_wpi_number", F.inline(kinds)).where("hours IS NOT NULL")
+    seen = values.groupBy("port_wpi_number", "kind", "hours").agg(F.count("*").alias("calls"))
+    up = Window.partitionBy("port_wpi_number", "kind").orderBy("hours").rowsBetween(Window.unboundedPreceding, 0)
+    totals = seen.groupBy("port_wpi_number", "kind").agg(F.sum("calls").alias("usable_calls"))
+    return seen.withColumn("at_or_below", F.sum("calls").over(up)).join(totals, ["port_wpi_number", "kind"])
+
+
 def port_benchmarks(calls: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Per named port: calls attributed, left out as incomplete, then as too far, and used; nearest-rank median and p90 where there are enough, observations in order."""
-    near = F.col("port_distance_nm") <= th.at_port_within_nm
-    use = F.col("is_complete") & near
-
-    def rank(p: float, hours: str, least: int) -> Column:
-        # every distinct value is one that was seen: nearest rank, never interpolated
-        return F.when(F.count_if(use) >= least, F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN is_complete AND port_distance_nm <= {th.at_port_within_nm} THEN {hours} END)"))
-
-    def seen(hours: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(use, F.col(hours))))
-
-    return (
-        calls.where("port_wpi_number IS NOT NULL")
-        .groupBy("port_wpi_number", "port_name", "port_country")
-        .agg(
-            F.count("*").alias("attributed_calls"), F.count_if(~F.col("is_complete")).alias("excluded_incomplete"), F.count_if(F.col("is_complete") & ~near).alias("excluded_too_far"), F.count_if(use).alias("usable_calls"),
-            rank(0.5, "waiting_hours", th.median_least).alias("median_waiting_hours"), rank(0.5, "working_hours", th.median_least).alias("median_working_hours"), rank(0.9, "waiting_hours", th.p90_least).alias("p90_waiting_hours"),
-            seen("waiting_hours").alias("waiting_hours"), seen("working_hours").alias("working_hours"),
-        )
-        .orderBy(F.desc("usable_calls"), "port_name")
-    )
+    """Per named port: calls attributed, left out as incomplete, then as too far, and used; hours in sum, nearest-rank median and p90 where there are enough."""
+    near, use = F.col("port_distance_nm") <= th.at_port_within_nm, _usable(th)
+    total = lambda kind: F.coalesce(F.sum(F.when(use, F.col(f"{kind}_hours"))), F.lit(0.0)).alias(f"{kind}_hours")
+    counts = calls.where("port_wpi_number IS NOT NULL").groupBy("port_wpi_number", "port_name", "port_country")
+    counts = counts.agg(F.count("*").alias("attributed_calls"), F.count_if(~F.col("is_complete")).alias("excluded_incomplete"), F.count_if(F.col("is_complete") & ~near).alias("excluded_too_far"), F.count_if(use).alias("usable_calls"), total("waiting"), total("working"))
+
+    def rank(percent: int, kind: str) -> Column:
+        # the least value that is seen with enough calls at or below it: nearest rank, never interpolated
+        enough = F.col("at_or_below") * 100 >= F.col("usable_calls") * percent
+        return F.min(F.when((F.col("kind") == kind) & enough, F.col("hours")))
+
+    ranks = port_observations(calls, th).groupBy("port_wpi_number").agg(rank(50, "waiting").alias("median_waiting_hours"), rank(50, "working").alias("median_working_hours"), rank(90, "waiting").alias("p90_waiting_hours"))
+    out = counts.join(ranks, "port_wpi_number", "left")
+    for name, least in (("median_waiting_hours", th.median_least), ("median_working_hours", th.median_least), ("p90_waiting_hours", th.p90_least)):
+        out = out.withColumn(name, F.when(F.col("usable_calls") >= least, F.col(name)))
+    return out.orderBy(F.desc("usable_calls"), "port_name")
 
 
 def rank_waits(probes: DataFrame, calls: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Where a wait (port_wpi_number, hours) stands among a port's usable calls: calls at or below, all, and the percentage if enough."""
-    usable = calls.where(F.col("is_complete") & (F.col("port_distance_nm") <= th.at_port_within_nm)).select("port_wpi_number", "waiting_hours")
-    df = probes.join(usable, "port_wpi_number", "left").groupBy("port_wpi_number", "hours").agg(F.count_if(F.col("waiting_hours") <= F.col("hours")).alias("at_or_below"), F.count("waiting_hours").alias("usable_calls"))
+    """Where a wait (port_wpi_number, hours) stands among a port's usable calls: calls at or below, all, and the percentage if enough.
+
+    Probes and the port's distinct values are sorted together once, and a running count passes over both.
+    """
+    seen = port_observations(calls, th).where("kind = 'waiting'").select("port_wpi_number", "hours", "calls", F.lit(0).alias("probe"))
+    asked = probes.select("port_wpi_number", "hours").distinct().select("*", F.lit(0).cast("long").alias("calls"), F.lit(1).alias("probe"))
+    up = Window.partitionBy("port_wpi_number").orderBy("hours", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    df = seen.unionByName(asked).withColumn("at_or_below", F.sum("calls").over(up)).where("probe = 1")
+    totals = seen.groupBy("port_wpi_number").agg(F.sum("calls").alias("usable_calls"))
+    df = df.join(totals, "port_wpi_number", "left").select("port_wpi_number", "hours", "at_or_below", F.coalesce("usable_calls", F.lit(0)).alias("usable_calls"))
     return df.withColumn("rank_percent", F.when(F.col("usable_calls") >= th.median_least, 100.0 * F.col("at_or_below") / F.col("usable_calls")))
 
 
