@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Words of a stretch of texts of one language that is written as one row.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Phrases that a task sums up before it passes them on.
-SUMMED = 1_000_000
+SUMMED = 200_000
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
 BLOCK = 1_000_000
 #: Parts of a language's candidates whose best are found first.
