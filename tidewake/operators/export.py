@@ -39,8 +39,9 @@ def export_sections(store, th: Thresholds = Thresholds()) -> dict[str, DataFrame
     }
 
 
-def export(store, path: str, th: Thresholds = Thresholds()) -> list[str]:
-    sections = export_sections(store, th)
+def export(store, path: str, th: Thresholds = Thresholds(), only: list[str] | None = None) -> list[str]:
+    """Writes all sections, or those named."""
+    sections = {k: v for k, v in export_sections(store, th).items() if only is None or k in only}
     for name, df in sections.items():
         df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
     return list(sections)

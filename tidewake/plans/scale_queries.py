@@ -1,4 +1,4 @@
-"""Registered queries over chunked tracks, the pruned log, keyed stream state and order statistics, each with its DuckDB SQL."""
+"""Registered queries over chunked tracks, streams, zipped days and sections of an export, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunks import annotate_and_detect, annotate_chunks, chunk_tracks, mark_stops_chunks
+from ..operators.export import export
+from ..operators.ingest import FEED_COLUMNS, ingest, parse
+from ..sources.feed import unpack_zips, write_zips
+from ..streaming.feed_stream import dedup_stream, judge_stream, read_stream
+from ..streaming.stop_state import StopState
 from .demo_feed import SQL_FEED
 from .feed import ORACLE_SQL, QUERIES, Feed, query
 from .queries import _r, _s
+from .store_queries import _store
 
 
 #: A third of the vessels share one number.
@@ -57,3 +63,94 @@ QUERIES["shared_number_scan"] = shared_number_scan
 ORACLE_SQL["shared_number_scan"] = _shared_sql("""
 SELECT mmsi, seg_no AS seg, count(*) AS fixes, count(*) FILTER (p7 OR p8 OR p11 OR n7 OR n8 OR n11) AS flagged, count(*) FILTER (state = 1) AS in_stops, count(*) FILTER (closed) AS closed, count(*) FILTER (edge) AS edges, count(DISTINCT leaves) FILTER (state = 1) AS stops
 FROM marked GROUP BY ALL""")
+
+
+# ---- streams
+
+
+def _csv_folder(f: Feed) -> str:
+    """The feed as CSV files of sixteen parts with a header each; a glob over them."""
+    part = F.concat(F.lit("part-"), F.pmod("source_line", F.lit(16)).cast("string"))
+    rows = f.lines().select(part.alias("part"), "source_line", "raw_text")
+    rows = rows.unionByName(rows.select("part").distinct().select("part", F.lit(0).cast("long").alias("source_line"), F.lit("# " + ",".join(FEED_COLUMNS)).alias("raw_text")))
+    path = f"{f.staging.root}/csv"
+    rows.repartition("part").sortWithinPartitions("part", "source_line").select("part", "raw_text").write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
+@query("SELECT mmsi, count(*) AS fixes, min(ts) AS first_s, max(ts) AS last_s, count(*) FILTER (r5) AS without_speed FROM (SELECT DISTINCT mmsi, ts, lat, lon, r5 FROM judged WHERE reject IS NULL) GROUP BY mmsi")
+def streamed_fixes(spark, sf_dir):
+    """CSV files read as a stream in several batches, judged, each natural key once."""
+    f = Feed(spark, sf_dir)
+    kept = dedup_stream(judge_stream(read_stream(spark, _csv_folder(f), files_per_trigger=4)), "30 days").select("mmsi", "ts_utc", "quality_flags")
+    out = f"{f.staging.root}/streamed"
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{f.staging.root}/streamed-at").trigger(availableNow=True).start().awaitTermination()
+    fixes = spark.read.schema(kept.schema).parquet(out)
+    return fixes.groupBy("mmsi").agg(F.count("*").alias("fixes"), F.min(_s("ts_utc")).alias("first_s"), F.max(_s("ts_utc")).alias("last_s"), F.count_if(F.array_contains("quality_flags", "R5")).alias("without_speed"))
+
+
+@query("SELECT reject AS rule_id, count(*) AS n FROM judged WHERE reject IS NOT NULL GROUP BY 1")
+def streamed_rejects(spark, sf_dir):
+    """Rows that the row rules refuse on a stream of CSV files."""
+    f = Feed(spark, sf_dir)
+    refused = judge_stream(read_stream(spark, _csv_folder(f), files_per_trigger=6)).where("reject IS NOT NULL").select(F.col("reject.rule_id").alias("rule_id"))
+    out = f"{f.staging.root}/refused"
+    refused.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{f.staging.root}/refused-at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(refused.schema).parquet(out).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_STOP_COLUMNS} FROM stops")
+def streamed_stops(spark, sf_dir):
+    """The stops of the log as it comes in batches by time, from the state of each vessel."""
+    f = Feed(spark, sf_dir)
+    log, path = f.log(), f"{f.staging.root}/arriving"
+    for day in (1, 2, 3):  # the last takes all later days
+        since = F.floor((_s("ts_utc") - 1704067200) / 43200)
+        part = log.where(since < 1 if day == 1 else since == 1 if day == 2 else since > 1)
+        part.coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    state = StopState(spark, f"{f.staging.root}/stop-state", buckets=8)
+    arriving.writeStream.foreachBatch(state.update).option("checkpointLocation", f"{f.staging.root}/arriving-at").trigger(availableNow=True).start().awaitTermination()
+    return _stop_columns(state.stops())
+
+
+# ---- archives of days, the development limit, sections of an export
+
+
+@query("SELECT source_file, count(*) AS n, count(*) FILTER (failure IS NOT NULL) AS failed, 2 AS first_line, count(*) + 1 AS last_line, sum(CASE WHEN failure IS NULL THEN ts END) AS ts_sum FROM (SELECT * REPLACE ('part-' || (source_line % 16) || '.csv' AS source_file) FROM lines) GROUP BY 1")
+def zipped_days(spark, sf_dir):
+    """The feed as zip archives of CSV files, read back as streams with line numbers and parsed."""
+    f = Feed(spark, sf_dir)
+    part = F.concat(F.lit("part-"), F.pmod("source_line", F.lit(16)).cast("string"), F.lit(".csv"))
+    folder = f"{f.staging.root}/zips"
+    write_zips(f.lines().select(part.alias("source_file"), "source_line", "raw_text"), folder if ":/" in folder else f"file://{folder}")
+    parsed = parse(unpack_zips(spark, f"{folder}/*.zip", f"{f.staging.root}/unpacked"))
+    return parsed.groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("parse_failure").isNotNull()).alias("failed"), F.min("source_line").alias("first_line"), F.max("source_line").alias("last_line"), F.sum(F.when(F.col("parse_failure").isNull(), _s("ts_utc"))).alias("ts_sum"))
+
+
+@query("""SELECT count(*) AS rows_read, count(*) FILTER (reject IS NOT NULL) AS rows_quarantined, count(DISTINCT (mmsi, ts, lat, lon)) FILTER (reject IS NULL) AS rows_inserted, count(*) FILTER (reject IS NULL) - count(DISTINCT (mmsi, ts, lat, lon)) FILTER (reject IS NULL) AS rows_dup_in_file
+  FROM judged WHERE source_file = 'day1.csv' AND source_line <= 501""")
+def limited_run(spark, sf_dir):
+    """A run of the first 500 lines of a file, the limit for development."""
+    lines = Feed(spark, sf_dir).lines().where("source_file = 'day1.csv'")
+    return ingest(lines, limit=500).counters.select("rows_read", "rows_quarantined", "rows_inserted", "rows_dup_in_file")
+
+
+def _exported(f: Feed, section: str, schema: str) -> DataFrame:
+    """A section of an export, read back from its JSON."""
+    export(_store(f, detect=True), f"{f.staging.root}/export", only=[section])
+    return f.spark.read.schema(schema).json(f"{f.staging.root}/export/{section}")
+
+
+def export_ports(spark, sf_dir):
+    b = _exported(Feed(spark, sf_dir), "ports", "port_wpi_number int, port_name string, port_country string, attributed_calls bigint, excluded_incomplete bigint, excluded_too_far bigint, usable_calls bigint, median_waiting_hours double, median_working_hours double, p90_waiting_hours double, waiting_hours double")
+    return b.withColumn("waiting_sum", F.col("waiting_hours")).drop("waiting_hours").select(*[_r(c).alias(c) if c.endswith(("hours", "sum")) else F.col(c) for c in ("port_wpi_number", "port_name", "port_country", "attributed_calls", "excluded_incomplete", "excluded_too_far", "usable_calls", "median_waiting_hours", "median_working_hours", "p90_waiting_hours", "waiting_sum")])
+
+
+def export_cargo(spark, sf_dir):
+    names = ["with_draught", "without_draught", "discharged", "loaded", "unchanged", "berthed", "berthed_changed"]
+    return _exported(Feed(spark, sf_dir), "cargo", ", ".join(f"{n} bigint" for n in names) + ", balanced boolean")
+
+
+QUERIES |= {"export_ports": export_ports, "export_cargo": export_cargo}
+ORACLE_SQL |= {"export_ports": ORACLE_SQL["port_benchmarks"], "export_cargo": ORACLE_SQL["reported_cargo"]}

@@ -44,34 +44,99 @@ def with_fields(lines: DataFrame) -> DataFrame:
 def unpack_zips(spark: SparkSession, path: str, staging: str) -> DataFrame:
     """Writes the first CSV entry of each archive as text rows to staging, and returns their lines; rows carry the entry's name, runs the archive's.
 
-    An archive is read whole by one task, line by line, and never held unpacked.
+    Only names and lengths of the archives pass through Spark. A task opens its archive where it lies as a stream that can
+    be sought in, so it holds a buffer of the archive and a block of lines, however long either is. In a store that
+    only Spark's readers reach, archives come as cells instead, of 2 GB at most. A packed entry can't be split, so one
+    task reads it; what it has written is split as any table.
     """
+    files = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("archive")
+    first = files.select("path").first()
+    streams = first is not None and _reachable(first["path"])
+    parts = files.select(name, F.col("path").alias("place")) if streams else files.select(name, F.col("content").alias("place"))
+    parts.repartition("archive").mapInArrow(_unpack, "archive string, source_file string, source_line long, raw_text string").write.mode("overwrite").parquet(staging)
+    return with_fields(spark.read.parquet(staging))
+
+
+def _open(uri: str):
+    """A file of a store that pyarrow knows, to be read from any place in it."""
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(place)
+
+
+def _reachable(uri: str) -> bool:
+    try:
+        _open(uri).close()
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], block: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Lines of the first CSV entry of each archive, by its place or its content."""
+    for batch in batches:
+        for archive, place in zip(batch.column(0).to_pylist(), batch.column(1)):
+            with _open(place.as_py()) if pa.types.is_string(place.type) else BytesIO(place.as_py()) as raw, zipfile.ZipFile(raw) as z:
+                entry = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
+                if entry is None:
+                    continue
+                with z.open(entry) as f:
+                    numbers: list[int] = []
+                    texts: list[str] = []
+                    for no, line in enumerate(f, 1):
+                        text = line.decode("utf-8-sig" if no == 1 else "utf-8", "replace").rstrip("\r\n")
+                        if no > 1 and text:
+                            numbers.append(no)
+                            texts.append(text)
+                        if len(texts) == block:
+                            yield _rows(archive, entry, numbers, texts)
+                            numbers, texts = [], []
+                    if texts:
+                        yield _rows(archive, entry, numbers, texts)
+
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(archive: str, entry: str, numbers: list[int], texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([archive] * len(texts)), pa.array([entry] * len(texts)), pa.array(numbers, pa.int64()), pa.array(texts)], names=["archive", "source_file", "source_line", "raw_text"])
+
+
+def write_zips(lines: DataFrame, folder: str) -> int:
+    """One archive for each source_file of (source_file, source_line, raw_text), with a header; the number of archives. Lines stream into the archive, in order.
+
+    The folder must be one that pyarrow can write to.
+    """
+    header = "# " + ",".join(FEED_COLUMNS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(folder)
+        store.create_dir(place)
+        current, out, z, f = None, None, None, None
+
+        def close() -> None:
+            if f is not None:
+                f.close()
+                z.close()
+                out.close()
+
+        names = []
         for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with zipfile.ZipFile(BytesIO(content.as_py())) as z:
-                    entry = next((n for n in sorted(z.namelist(), key=z.namelist().index) if n.lower().endswith(".csv")), None)
-                    if entry is None:
-                        continue
-                    with z.open(entry) as f:
-                        block: list[tuple[str, str, int, str]] = []
-                        for no, raw in enumerate(f, 1):
-                            text = raw.decode("utf-8-sig" if no == 1 else "utf-8", "replace").rstrip("\r\n")
-                            if no > 1 and text:
-                                block.append((archive, entry, no, text))
-                            if len(block) == 10_000:
-                                yield _rows(block)
-                                block = []
-                        if block:
-                            yield _rows(block)
-
-    def _rows(block):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*block)], names=["archive", "source_file", "source_line", "raw_text"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").repartition("archive")
-    files.mapInArrow(lines, "archive string, source_file string, source_line long, raw_text string").write.mode("overwrite").parquet(staging)
-    return with_fields(spark.read.parquet(staging))
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != current:
+                    close()
+                    current, out = name, store.open_output_stream(f"{place}/{name.rsplit('.', 1)[0]}.zip")
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    f = z.open(name, "w", force_zip64=True)
+                    f.write(header.encode() + b"\n")
+                    names.append(name)
+                f.write(text.encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    sorted_lines = lines.select("source_file", "source_line", "raw_text").repartition("source_file").sortWithinPartitions("source_file", "source_line")
+    return sorted_lines.select("source_file", "raw_text").mapInArrow(pack, "name string").count()
 
 
 def read_columns(spark: SparkSession, path: str) -> DataFrame:

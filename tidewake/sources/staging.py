@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Stagings whose tables a result may still read; they go when the process ends.
+_open: list[Staging] = []
+
+
+@atexit.register
+def _clear_all() -> None:
+    for staging in list(_open):
+        if staging.spark.sparkContext._jsc is not None:
+            staging.clear()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Staging:
-    """Parquet tables of one job. A written table is computed once, however often it is read, and cuts lineage: a lost executor costs its running tasks alone."""
+    """Parquet tables of one job. A written table is computed once, however often it is read, and cuts lineage: a lost executor costs its running tasks alone.
+
+    A lazy result reads them after the job has returned it, so tables under the shared folder are deleted when the process ends, if not before.
+    """
 
     def __init__(self, spark: SparkSession, label: str, root: str | None = None):
+        if root is None:
+            _open.append(self)
         self.spark = spark
         self.root = root or f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
@@ -39,3 +54,5 @@ class Staging:
         """Deletes all tables; only when no DataFrame reads them any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _open:
+            _open.remove(self)
