@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import known_text
@@ -103,7 +103,7 @@ def _known(accepted: DataFrame, log: DataFrame) -> DataFrame:
     return accepted.join(old, (F.col("mmsi") == F.col("_mmsi")) & (F.col("ts_utc") == F.col("_ts")) & same_place, "left").drop("_mmsi", "_ts", "_lat", "_lon")
 
 
-def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None, log_buckets: int | None = None) -> IngestResult:
+def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None, log_buckets: int | None = None, observed: tuple[Observation, Observation] | None = None) -> IngestResult:
     """One run over judged rows. Every line falls in exactly one of filtered, quarantined, dup_in_file, dup_prior_run and inserted.
 
     Identities are merged over all parsed lines first. Then scope comes before refusal (an unparseable line has no
@@ -111,6 +111,9 @@ def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame |
     order stays, unless the log has its natural key. One shuffle on the vessel, one on the natural key. A log that lies in
     log_buckets buckets by vessel and time is joined where it lies: the lines are dealt to as many parts, and that serves
     the duplicates in the file too.
+
+    observed: the first is told the accepted lines by bucket when positions are written, the second all lines and those
+    of the other buckets when rejects are, so that the counters need no job of their own.
     """
     found = merge_identity(judged)
     if ship_type is None:
@@ -133,6 +136,10 @@ def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame |
     accepted = accepted.withColumn("bucket", F.when(F.col("nth") > 1, "dup_in_file").when(F.col("old"), "dup_prior_run").otherwise("inserted"))
     buckets = judged.where("bucket IS NOT NULL").select("source_file", "source_line", "bucket").unionByName(accepted.select("source_file", "source_line", "bucket"))
     names = ["filtered", "inserted", "dup_in_file", "dup_prior_run", "quarantined"]
+    many = lambda b: F.count_if(F.coalesce(F.col("bucket") == b, F.lit(False))).alias(f"rows_{b}")
+    if observed is not None:
+        accepted = accepted.observe(observed[0], many("inserted"), many("dup_in_file"), many("dup_prior_run"))
+        judged = judged.observe(observed[1], F.count(F.lit(1)).alias("rows_read"), many("filtered"), many("quarantined"))
     counters = buckets.agg(F.count("*").alias("rows_read"), *[F.count_if(F.col("bucket") == b).alias(f"rows_{b}") for b in names])
     counters = counters.select(F.lit(run_id).cast("bigint").alias("ingest_run_id"), "*", (F.col("rows_read") == sum((F.col(f"rows_{b}") for b in names), F.lit(0))).alias("balanced"))
     positions = accepted.where("bucket = 'inserted'").withColumn("ingest_run_id", F.lit(run_id).cast("bigint")).select(*POSITION_COLUMNS)

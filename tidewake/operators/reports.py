@@ -58,10 +58,12 @@ def call_counts(calls: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     return calls.groupBy("mmsi").agg(F.count("*").alias("calls"))
 
 
+DAYS_AHEAD = "(unix_seconds(eta_utc) - unix_seconds(ts_utc)) div 86400"
+
+
 def eta_bins(fixes: DataFrame) -> DataFrame:
     """Fixes by whole days from fix to ETA, cut off towards zero: up to a day past is bin 0."""
-    days = F.expr("(unix_seconds(eta_utc) - unix_seconds(ts_utc)) div 86400")
-    return fixes.where("eta_utc IS NOT NULL").groupBy(days.alias("days_ahead")).agg(F.count("*").alias("fixes"))
+    return fixes.where("eta_utc IS NOT NULL").groupBy(F.expr(DAYS_AHEAD).alias("days_ahead")).agg(F.count("*").alias("fixes"))
 
 
 def eta_empty_bands(bins: DataFrame, least_days: int = 7) -> DataFrame:
@@ -74,7 +76,10 @@ def eta_empty_bands(bins: DataFrame, least_days: int = 7) -> DataFrame:
 
 def eta_horizon(fixes: DataFrame, th: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bins contiguous from day 0, empty bands, summary)."""
-    found = eta_bins(fixes)
+    return eta_horizon_of_bins(eta_bins(fixes), th)
+
+
+def eta_horizon_of_bins(found: DataFrame, th: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame, DataFrame]:
     ahead = found.where("days_ahead >= 0")
     days = ahead.agg(F.max("days_ahead").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("days_ahead"))
     bins = days.join(ahead, "days_ahead", "left").select("days_ahead", F.coalesce("fixes", F.lit(0).cast("bigint")).alias("fixes"))

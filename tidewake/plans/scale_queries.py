@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import rollups
 from ..operators.chunks import annotate_and_detect, annotate_chunks, chunk_tracks, mark_stops_chunks
 from ..operators.export import export
 from ..operators.ingest import FEED_COLUMNS, ingest, parse
@@ -154,3 +155,32 @@ def export_cargo(spark, sf_dir):
 
 QUERIES |= {"export_ports": export_ports, "export_cargo": export_cargo}
 ORACLE_SQL |= {"export_ports": ORACLE_SQL["port_benchmarks"], "export_cargo": ORACLE_SQL["reported_cargo"]}
+
+
+# ---- daily partials
+
+
+def _partials(f: Feed) -> dict[str, DataFrame]:
+    """Partials written day by day in two goes, the second over days of the first too."""
+    log, root = f.log(), f"{f.staging.root}/partials"
+    noon = F.timestamp_seconds(F.lit(1704067200 + 86400))
+    rollups.write_partials(log.where(F.col("ts_utc") < noon), root)
+    rollups.write_partials(log.where(F.col("ts_utc") >= F.timestamp_seconds(F.lit(1704067200))), root)
+    return rollups.read_partials(f.spark, root)
+
+
+def eta_bins_by_days(spark, sf_dir):
+    return rollups.eta_horizon(_partials(Feed(spark, sf_dir)))[0]
+
+
+def destination_counts_by_days(spark, sf_dir):
+    return rollups.destination_counts(_partials(Feed(spark, sf_dir)))
+
+
+def destination_typists_by_days(spark, sf_dir):
+    return rollups.destination_typists(_partials(Feed(spark, sf_dir)))
+
+
+for _name in ("eta_bins", "destination_counts", "destination_typists"):
+    QUERIES[f"{_name}_by_days"] = globals()[f"{_name}_by_days"]
+    ORACLE_SQL[f"{_name}_by_days"] = ORACLE_SQL[_name]
