@@ -21,18 +21,24 @@ class HashRuns:
 
     Every run is a table bucketed by the hash, so a batch is shuffled once and then merge-anti-joined with each run
     where it lies. A level of `fanout` runs is compacted into one run of the next level. Runs hold disjoint hashes,
-    so compaction is a union that is sorted again.
+    so compaction is a union that is sorted again. Runs lie in a folder of their own under `root`, and the session's catalog
+    knows them only until close(); the warehouse holds none of them.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int, buckets: int):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, fanout: int, buckets: int, root: str):
+        self.spark, self.fanout, self.buckets, self.root = spark, fanout, buckets, root
         self.levels: list[list[str]] = []
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:16]}"
-        keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
 
@@ -59,13 +65,13 @@ class HashRuns:
             self.levels[level + 1].append(self._write(merged))
             self.levels[level] = []
             for t in old:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._drop(t)
             level += 1
 
     def close(self) -> None:
         for level in self.levels:
             for t in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+                self._drop(t)
         self.levels = []
 
 
@@ -88,7 +94,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = space.save(lines.select(F.col("_tw_id").alias("d"), F.col("_tw_row").alias("r"), "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "hashes")
     cuts = [c for c in (lines.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 10000).alias("q")).first()["q"] or [])] if batches > 1 else []
     cuts = sorted(set(cuts))
-    runs = HashRuns(spark, fanout, partitions(spark))
+    runs = HashRuns(spark, fanout, partitions(spark), f"{space.root}/runs")
     drops = []
     try:
         for i in range(len(cuts) + 1):
