@@ -16,6 +16,8 @@ from .common import Workspace
 CHUNK = 1 << 17
 #: Phrases that a task sums up before it passes them on.
 SUMMED = 200_000
+#: Passes in which pairs of words are summed, by their first word, so that a task has few of them at a time.
+PAIR_PASSES = 4
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
 BLOCK = 1_000_000
 #: Parts of a language's candidates whose best are found first.
@@ -190,8 +192,8 @@ def _schema(words: int) -> str:
     return ", ".join(f"{c} long" for c in [*_keys(words), "n"])
 
 
-def _longer(trie, level: int, whole: bool) -> Callable:
-    """(p, k, n): phrases of `level` words whose first level-1 are the trie's phrase p (and whose last ones are another, if it holds all), their last word's key, and occurrences."""
+def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable:
+    """(p, k, n): phrases of `level` words whose first level-1 are the trie's phrase p (and whose last ones are another, if it holds all), their last word's key, and occurrences; of one part of the phrases p."""
 
     def emit(parts: list) -> pa.RecordBatch:
         p, k, n = (np.concatenate(x) for x in zip(*parts))
@@ -210,7 +212,7 @@ def _longer(trie, level: int, whole: bool) -> Callable:
                 phrase = np.full(len(codes) + 1, -1, np.int64)
                 phrase[place] = t.accept[state]
                 begin = np.flatnonzero(phrase[:-1] >= 0)
-                begin = begin[begin + level <= len(codes)]
+                begin = begin[(begin + level <= len(codes)) & (phrase[begin] % parts_of == part)]
                 if whole:
                     begin = begin[phrase[begin + 1] >= 0]
                 word = codes[begin + level - 1]
@@ -308,9 +310,15 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     for size in range(2, max_words + 1):
 
         def longer(trie, whole: bool, size: int = size) -> DataFrame:
-            # a phrase's first words are in one trie only, so its sum is whole
-            found = chunks.mapInArrow(_longer(trie, size, whole), "p long, k long, n long").groupBy("p", "k").agg(F.sum("n").alias("n"))
-            return found.where(F.col("n") >= min_count).mapInArrow(_spelled(trie, size), schema)
+            # a phrase's first words are in one trie and one part only, so its sum is whole
+            passes, out = PAIR_PASSES if size == 2 else 1, None
+            for part in range(passes):
+                found = chunks.mapInArrow(_longer(trie, size, whole, part, passes), "p long, k long, n long").groupBy("p", "k").agg(F.sum("n").alias("n"))
+                found = found.where(F.col("n") >= min_count).mapInArrow(_spelled(trie, size), schema)
+                if passes > 1:
+                    found = space.save(found, "pairs")
+                out = found if out is None else out.unionByName(found)
+            return out
 
         level = space.save(_passes(level, max_words, longer, space).select(*cols), f"level{size}")
         candidates = level if candidates is None else candidates.unionByName(level)
