@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import elapsed_s, overlap_s
 from ..functions.text import port_names_agree
 from ..sources.staging import Staging
+from .intervals import meet
 from .laytime import EXCEPTIONS, calculate, voyage_timeline
 
 UNOBSERVABLE = ["NoticeOfReadinessTendered", "CargoCommenced", "CargoCompleted"]
@@ -27,12 +28,14 @@ def document_windows(events: DataFrame) -> DataFrame:
     return events.groupBy("doc_id").agg(F.min("mmsi").alias("mmsi"), F.min("port").alias("document_port"), F.min("ts_utc").alias("from_utc"), F.max("ts_utc").alias("to_utc"))
 
 
-def select_calls(documents: DataFrame, calls: DataFrame) -> DataFrame:
+def select_calls(documents: DataFrame, calls: DataFrame, *, by_days: bool = False) -> DataFrame:
     """Calls of the document's vessel that share time with it, ranked; chosen where one shares most. A tie chooses none.
 
-    An equi join on the vessel with the range as a filter: the calls of one vessel are few.
+    An equi join on the vessel with the range as a filter: the calls of one vessel are few. Where they are not (a shared
+    number, years of calls), by_days makes a document meet the calls around its own days alone.
     """
-    df = documents.join(calls, "mmsi").withColumn("overlap_s", overlap_s("from_utc", "to_utc", "arrived_utc", "departed_utc")).where("overlap_s > 0")
+    pairs = meet(documents, calls, ["mmsi"], ("from_utc", "to_utc"), ("arrived_utc", "departed_utc")) if by_days else documents.join(calls, "mmsi")
+    df = pairs.withColumn("overlap_s", overlap_s("from_utc", "to_utc", "arrived_utc", "departed_utc")).where("overlap_s > 0")
     w = Window.partitionBy("doc_id").orderBy(F.desc("overlap_s"), "arrived_utc")
     df = df.withColumn("rank", F.row_number().over(w)).withColumn("_next", F.lead("overlap_s").over(w))
     chosen = (F.col("rank") == 1) & (F.col("_next").isNull() | (F.col("_next") < F.col("overlap_s")))

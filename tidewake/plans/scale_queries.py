@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import rollups
 from ..operators.chunks import annotate_and_detect, annotate_chunks, chunk_tracks, mark_stops_chunks
 from ..operators.export import export
+from ..operators.intervals import read_window, write_intervals
 from ..operators.ingest import FEED_COLUMNS, ingest, parse
+from ..operators.sof import document_windows, select_calls
 from ..sources.feed import unpack_zips, write_zips
 from ..streaming.feed_stream import dedup_stream, judge_stream, read_stream
 from ..streaming.stop_state import StopState
 from .demo_feed import SQL_FEED
 from .feed import ORACLE_SQL, QUERIES, Feed, query
-from .queries import _r, _s
+from .queries import _r, _s, demo_documents
 from .store_queries import _store
 
 
@@ -184,3 +186,33 @@ def destination_typists_by_days(spark, sf_dir):
 for _name in ("eta_bins", "destination_counts", "destination_typists"):
     QUERIES[f"{_name}_by_days"] = globals()[f"{_name}_by_days"]
     ORACLE_SQL[f"{_name}_by_days"] = ORACLE_SQL[_name]
+
+
+# ---- intervals by length and start
+
+
+def _indexed(f: Feed, name: str, df: DataFrame, start: str, end: str) -> DataFrame:
+    """What overlaps the second half of the first day, from files laid out by length and start."""
+    path = f"{f.staging.root}/{name}-by-days"
+    write_intervals(df, path, start, end)
+    return read_window(f.spark, path, start, end, "2024-01-01 12:00:00", "2024-01-02 00:00:00", far_edge=True)
+
+
+def stops_in_window_by_days(spark, sf_dir):
+    f = Feed(spark, sf_dir)
+    return _indexed(f, "stops", f.stops(), "started_utc", "ended_utc").select("mmsi", _s("started_utc").alias("started_s"))
+
+
+def calls_in_window_by_days(spark, sf_dir):
+    f = Feed(spark, sf_dir)
+    return _indexed(f, "calls", f.calls()[0], "arrived_utc", "departed_utc").select("mmsi", _s("arrived_utc").alias("arrived_s"))
+
+
+def document_calls_by_days(spark, sf_dir):
+    c, p = Feed(spark, sf_dir).calls()
+    return select_calls(document_windows(demo_documents(c, p)), c, by_days=True).select("doc_id", _s("arrived_utc").alias("arrived_s"), "overlap_s", "rank", "chosen")
+
+
+for _name in ("stops_in_window", "calls_in_window", "document_calls"):
+    QUERIES[f"{_name}_by_days"] = globals()[f"{_name}_by_days"]
+    ORACLE_SQL[f"{_name}_by_days"] = ORACLE_SQL[_name]
