@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from .common import SPACE, WORD, Workspace
 
 #: Patterns that a text's words are held against in place.
 LOOKUP = 5000
+#: Share of all distinct seeds that a pattern must hold, so that patterns follow the contexts that identifiers have in common and not the size of the corpus.
+SHARE = 0.0015
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns, written so that Java matches them without recursion and without rescanning long runs:
@@ -140,7 +144,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Base spans and words in the format of a key are seeds; the latter are spans of kind `id`. The words around a seed (two to the left, or one on either side) are its patterns; all other
     words in the same contexts, with a digit or without, are the other instances. Patterns are scored over the graph of all documents, and
-    where a pattern of enough seeds is confident, its other instances become spans of kind `id`, without the quotes and other marks around them. A base span is
+    where a pattern of enough seeds (`support`, and SHARE of all distinct ones) is confident, its other instances become spans of kind `id`, without the quotes and other marks around them. A base span is
     one instance, whatever its words. Instances with a digit
     that a confident pattern finds are seeds of one further pass (`grow`), in which patterns without base seeds can rise.
 
@@ -150,9 +154,13 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     space = Workspace(docs.sparkSession, "pii")
 
-    def confident(spots: DataFrame) -> DataFrame:
+    def needed(spots: DataFrame) -> int:
+        """Seeds that a pattern must hold: a share of all, so that the graph grows with the corpus and not faster."""
+        return max(support, ceil(SHARE * spots.where("seed").select("instance").distinct().count()))
+
+    def confident(spots: DataFrame, least: int) -> DataFrame:
         edges = spots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-        return score_patterns(edges, space, rounds=rounds, support=support).where(F.col("confidence") >= confidence)
+        return score_patterns(edges, space, rounds=rounds, support=least).where(F.col("confidence") >= confidence)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = space.save(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t")), "texts")
@@ -180,12 +188,13 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spots = spots.where("pattern IS NOT NULL").drop("secret")
     # what a confident pattern finds among the marked words is a seed of the next pass, so the set of edges grows
     for _ in range(grow):
-        good = confident(spots)
+        good = confident(spots, needed(spots))
         promoted = spots.where("NOT seed").join(good.select("pattern"), "pattern", "left_semi").select("instance", F.lit(True).alias("found")).distinct()
         spots = space.save(spots.join(promoted, "instance", "left").withColumn("seed", F.col("seed") | F.coalesce("found", F.lit(False))).drop("found"), "spots")
-    wanted = space.save(spots.where("seed").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= support).select("pattern"), "wanted")
+    least = needed(spots)
+    wanted = space.save(spots.where("seed").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= least).select("pattern"), "wanted")
     plain = space.save(_plain_hits(texts, wanted), "plain")
-    good = space.save(confident(spots.select("pattern", "instance", "seed").unionByName(plain.select("pattern", "instance", F.lit(False).alias("seed")))).select("pattern"), "good")
+    good = space.save(confident(spots.select("pattern", "instance", "seed").unionByName(plain.select("pattern", "instance", F.lit(False).alias("seed"))), least).select("pattern"), "good")
     new = spots.where("NOT base").join(good, "pattern", "left_semi").select("uid", "start", "end").union(secrets)
     new = new.union(_plain_places(texts, plain.join(good, "pattern", "left_semi"), base))
     new = new.groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("new_spans"))
