@@ -17,7 +17,9 @@ CHUNK = 1 << 17
 #: Phrases that a task sums up before it passes them on.
 SUMMED = 200_000
 #: Passes in which pairs of words are summed, by their first word, so that a task has few of them at a time.
-PAIR_PASSES = 4
+PAIR_PASSES = 2
+#: Tasks of the counting pass for each core: every task passes on a count of each phrase that it has seen.
+SHARDS = 3
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
 BLOCK = 1_000_000
 #: Parts of a language's candidates whose best are found first.
@@ -193,7 +195,7 @@ def _schema(words: int) -> str:
 
 
 def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable:
-    """(p, k, n): phrases of `level` words whose first level-1 are the trie's phrase p (and whose last ones are another, if it holds all), their last word's key, and occurrences; of one part of the phrases p."""
+    """(p, k, n): phrases of `level` words whose first level-1 are the trie's phrase p (and whose last ones are another, if it holds all), their last word's symbol (its key, where the trie is one of several), and occurrences; of one part of the phrases p."""
 
     def emit(parts: list) -> pa.RecordBatch:
         p, k, n = (np.concatenate(x) for x in zip(*parts))
@@ -215,11 +217,12 @@ def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable
                 begin = begin[(begin + level <= len(codes)) & (phrase[begin] % parts_of == part)]
                 if whole:
                     begin = begin[phrase[begin + 1] >= 0]
-                word = codes[begin + level - 1]
-                begin, word = begin[word > 0], word[word > 0]
-                pairs, counts = np.unique(phrase[begin] * (len(keys) + 1) + word, return_counts=True)
+                word, names = (text, np.arange(len(t.alphabet))) if whole else (codes.astype(np.int64) - 1, keys)
+                word = word[begin + level - 1]
+                begin, word = begin[word >= 0], word[word >= 0]
+                pairs, counts = np.unique(phrase[begin] * (len(names) + 1) + word, return_counts=True)
                 if len(pairs):
-                    parts.append((pairs // (len(keys) + 1), keys[pairs % (len(keys) + 1) - 1], counts.astype(np.int64)))
+                    parts.append((pairs // (len(names) + 1), names[pairs % (len(names) + 1)], counts.astype(np.int64)))
                     size += len(pairs)
                 if size >= SUMMED:
                     yield emit(parts)
@@ -230,21 +233,23 @@ def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable
     return run
 
 
-def _spelled(trie, level: int) -> Callable:
-    """The word keys of (p, k, n)."""
+def _spelled(trie, level: int | None = None, whole: bool = True) -> Callable:
+    """The word keys of (p, k, n), or of (p, n) where the phrases are the trie's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: DoubleArray = trie.value
         for batch in batches:
             phrases = t.phrases[batch.column("p").to_numpy()].copy()
-            phrases[:, level - 1] = batch.column("k").to_numpy()
+            if level is not None:
+                last = batch.column("k").to_numpy()
+                phrases[:, level - 1] = t.alphabet[last] if whole else last
             yield _emit(phrases, batch.column("n").to_numpy())
 
     return run
 
 
 def _counted(trie, levels: int) -> Callable:
-    """Occurrences of the trie's phrases: accepting states of a task's stretches, by bincount."""
+    """(p, n): occurrences of the trie's phrases, accepting states of a task's stretches by bincount."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: DoubleArray = trie.value
@@ -255,7 +260,8 @@ def _counted(trie, levels: int) -> Callable:
                 for _, state in t.walk(text, levels):
                     row = t.accept[state]
                     total += np.bincount(row[row >= 0], minlength=len(total))
-        yield _emit(t.phrases[total > 0], total[total > 0])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["p", "n"])
 
     return run
 
@@ -314,7 +320,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
             passes, out = PAIR_PASSES if size == 2 else 1, None
             for part in range(passes):
                 found = chunks.mapInArrow(_longer(trie, size, whole, part, passes), "p long, k long, n long").groupBy("p", "k").agg(F.sum("n").alias("n"))
-                found = found.where(F.col("n") >= min_count).mapInArrow(_spelled(trie, size), schema)
+                found = found.where(F.col("n") >= min_count).mapInArrow(_spelled(trie, size, whole), schema)
                 if passes > 1:
                     found = space.save(found, "pairs")
                 out = found if out is None else out.unionByName(found)
@@ -322,8 +328,13 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
 
         level = space.save(_passes(level, max_words, longer, space).select(*cols), f"level{size}")
         candidates = level if candidates is None else candidates.unionByName(level)
-    counted = _passes(candidates, max_words, lambda trie, whole: chunks.mapInArrow(_counted(trie, max_words), schema), space)
-    counted = space.save(counted.groupBy(*cols).agg(F.sum("n").alias("a")), "counted")
+    shards = chunks.coalesce(SHARDS * docs.sparkSession.sparkContext.defaultParallelism)
+
+    def count(trie, whole: bool) -> DataFrame:
+        return shards.mapInArrow(_counted(trie, max_words), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).mapInArrow(_spelled(trie), schema)
+
+    # a candidate is in one trie
+    counted = space.save(_passes(candidates, max_words, count, space).select(*cols, F.col("n").alias("a")), "counted")
 
     freq = frequent.select(*cols, F.col("n").alias("f")).unionByName(counted.select(*cols, F.col("a").alias("f")))
     all_keys = F.filter(F.array(*cols), lambda k: k != 0)
