@@ -12,6 +12,8 @@ from .common import SPACE, WORD, Workspace
 
 #: Patterns that a text's words are held against in place.
 LOOKUP = 5000
+#: Places of found words that may be broadcast, of four bytes each and sixteen for their text.
+PLACES = 1_000_000
 #: Share of all distinct seeds that a pattern must hold, so that patterns follow the contexts that identifiers have in common and not the size of the corpus.
 SHARE = 0.0015
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -130,6 +132,9 @@ def _plain_hits(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _plain_places(texts: DataFrame, hits: DataFrame, base: DataFrame) -> DataFrame:
     """(uid, start, end) of words by their place among a text's words, outside base spans."""
     spots = hits.groupBy("uid").agg(F.collect_set("i").alias("places"))
+    # few texts hold such words: their places go to the texts, else both are shuffled
+    if hits.count() <= PLACES:
+        spots = F.broadcast(spots)
     total = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x))
     split = texts.join(spots, "uid").select("uid", "places", F.split("t", WORD, -1).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1)).alias("words"))
     start = F.transform("places", lambda i: F.struct((total(F.slice("gaps", F.lit(1), i + 1)) + total(F.slice("words", F.lit(1), i))).alias("start"), F.get("words", i).alias("m")))
