@@ -17,7 +17,7 @@ CHUNK = 1 << 17
 #: Phrases that a task sums up before it passes them on.
 SUMMED = 200_000
 #: Passes in which pairs of words are summed, by their first word, so that a task has few of them at a time.
-PAIR_PASSES = 2
+PAIR_PASSES = 4
 #: Tasks of the counting pass for each core: every task passes on a count of each phrase that it has seen.
 SHARDS = 3
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
