@@ -18,7 +18,8 @@ CHUNK = 1 << 17
 SUMMED = 200_000
 #: Passes in which pairs of words are summed, by their first word, so that a task has few of them at a time.
 PAIR_PASSES = 4
-#: Tasks of the counting pass for each core: every task passes on a count of each phrase that it has seen.
+#: Tasks for each core of the passes over pairs and of the counting pass: every task passes on one sum of each pair or phrase that it has seen.
+PAIR_SHARDS = 6
 SHARDS = 3
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
 BLOCK = 1_000_000
@@ -195,14 +196,18 @@ def _schema(words: int) -> str:
 
 
 def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable:
-    """(p, k, n): phrases of `level` words whose first level-1 are the trie's phrase p (and whose last ones are another, if it holds all), their last word's symbol (its key, where the trie is one of several), and occurrences; of one part of the phrases p."""
+    """Occurrences n of phrases of `level` words whose first level-1 are the trie's phrase p, for one part of the phrases p.
+
+    Where the trie holds all phrases, the last ones must be another of them, the last word k is a symbol, and p and k are
+    one number pk, so that a row is short. Where it is one of several, k is the word's key, and the rows are (p, k, n).
+    """
 
     def emit(parts: list) -> pa.RecordBatch:
-        p, k, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((k, p))
-        p, k, n = p[order], k[order], n[order]
-        new = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(k[new]), pa.array(np.add.reduceat(n, np.flatnonzero(new)))], names=["p", "k", "n"])
+        *keys, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort(keys[::-1])
+        keys, n = [k[order] for k in keys], n[order]
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        return pa.RecordBatch.from_arrays([*(pa.array(k[new]) for k in keys), pa.array(np.add.reduceat(n, np.flatnonzero(new)))], names=[*_pair(whole), "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: DoubleArray = trie.value
@@ -217,12 +222,12 @@ def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable
                 begin = begin[(begin + level <= len(codes)) & (phrase[begin] % parts_of == part)]
                 if whole:
                     begin = begin[phrase[begin + 1] >= 0]
-                word, names = (text, np.arange(len(t.alphabet))) if whole else (codes.astype(np.int64) - 1, keys)
+                word, base = (text, len(t.alphabet)) if whole else (codes.astype(np.int64) - 1, len(keys))
                 word = word[begin + level - 1]
                 begin, word = begin[word >= 0], word[word >= 0]
-                pairs, counts = np.unique(phrase[begin] * (len(names) + 1) + word, return_counts=True)
+                pairs, counts = np.unique(phrase[begin] * base + word, return_counts=True)
                 if len(pairs):
-                    parts.append((pairs // (len(names) + 1), names[pairs % (len(names) + 1)], counts.astype(np.int64)))
+                    parts.append((pairs, counts.astype(np.int64)) if whole else (pairs // base, keys[pairs % base], counts.astype(np.int64)))
                     size += len(pairs)
                 if size >= SUMMED:
                     yield emit(parts)
@@ -233,16 +238,25 @@ def _longer(trie, level: int, whole: bool, part: int, parts_of: int) -> Callable
     return run
 
 
+def _pair(whole: bool) -> list[str]:
+    return ["pk"] if whole else ["p", "k"]
+
+
 def _spelled(trie, level: int | None = None, whole: bool = True) -> Callable:
-    """The word keys of (p, k, n), or of (p, n) where the phrases are the trie's own."""
+    """The word keys of what _longer counted, or of (p, n) where the phrases are the trie's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: DoubleArray = trie.value
         for batch in batches:
-            phrases = t.phrases[batch.column("p").to_numpy()].copy()
-            if level is not None:
-                last = batch.column("k").to_numpy()
-                phrases[:, level - 1] = t.alphabet[last] if whole else last
+            if level is None:
+                phrases = t.phrases[batch.column("p").to_numpy()]
+            else:
+                if whole:
+                    p, k = np.divmod(batch.column("pk").to_numpy(), len(t.alphabet))
+                else:
+                    p, k = batch.column("p").to_numpy(), batch.column("k").to_numpy()
+                phrases = t.phrases[p].copy()
+                phrases[:, level - 1] = t.alphabet[k] if whole else k
             yield _emit(phrases, batch.column("n").to_numpy())
 
     return run
@@ -311,27 +325,26 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     words = space.save(words, "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = space.save(words.where(F.col("n") >= min_count).select("lang", "word", F.xxhash64("lang", "word").alias("k0"), *[F.lit(0).cast("long").alias(c) for c in cols[1:]], "n"), "frequent")
-    chunks = chunks.select("codes", "keys")
+    chunks, cores = chunks.select("codes", "keys"), docs.sparkSession.sparkContext.defaultParallelism
+    dealt, shards = chunks.coalesce(PAIR_SHARDS * cores), chunks.coalesce(SHARDS * cores)
     level, candidates, schema = frequent, None, _schema(max_words)
     for size in range(2, max_words + 1):
 
         def longer(trie, whole: bool, size: int = size) -> DataFrame:
-            # a phrase's first words are in one trie and one part only, so its sum is whole
-            passes, out = PAIR_PASSES if size == 2 else 1, None
+            # a phrase's first words are in one trie and one part only, so its sum is whole; sums are few, and spelled in few tasks
+            passes, out, pair = PAIR_PASSES if size == 2 else 1, None, _pair(whole)
             for part in range(passes):
-                found = chunks.mapInArrow(_longer(trie, size, whole, part, passes), "p long, k long, n long").groupBy("p", "k").agg(F.sum("n").alias("n"))
-                found = found.where(F.col("n") >= min_count).mapInArrow(_spelled(trie, size, whole), schema)
-                if passes > 1:
-                    found = space.save(found, "pairs")
+                found = dealt.mapInArrow(_longer(trie, size, whole, part, passes), ", ".join(f"{c} long" for c in [*pair, "n"])).groupBy(*pair).agg(F.sum("n").alias("n"))
+                found = space.save(found.where(F.col("n") >= min_count), "pairs")
                 out = found if out is None else out.unionByName(found)
-            return out
+            return out.mapInArrow(_spelled(trie, size, whole), schema)
 
         level = space.save(_passes(level, max_words, longer, space).select(*cols), f"level{size}")
         candidates = level if candidates is None else candidates.unionByName(level)
-    shards = chunks.coalesce(SHARDS * docs.sparkSession.sparkContext.defaultParallelism)
 
     def count(trie, whole: bool) -> DataFrame:
-        return shards.mapInArrow(_counted(trie, max_words), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).mapInArrow(_spelled(trie), schema)
+        total = shards.mapInArrow(_counted(trie, max_words), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+        return space.save(total, "sums").mapInArrow(_spelled(trie), schema)
 
     # a candidate is in one trie
     counted = space.save(_passes(candidates, max_words, count, space).select(*cols, F.col("n").alias("a")), "counted")
