@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 #: Words of a stretch of texts of one language that is written as one row.
 CHUNK = 1 << 17
+#: Stretches that pass to a task at once, of about a MB each.
+STRETCHES = 4
 #: Phrases that a task sums up before it passes them on.
 SUMMED = 200_000
 #: Passes in which pairs of words are summed, by their first word, so that a task has few of them at a time.
@@ -183,6 +186,18 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(keys.as_buffer(), np.int64)
 
 
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Jobs run in here pass STRETCHES rows to a task at once: rows of a MB need no batches of thousands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STRETCHES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _emit(phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in phrases.T), pa.array(counts.astype(np.int64))], names=[*_keys(phrases.shape[1]), "n"])
 
@@ -335,7 +350,8 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
             passes, out, pair = PAIR_PASSES if size == 2 else 1, None, _pair(whole)
             for part in range(passes):
                 found = dealt.mapInArrow(_longer(trie, size, whole, part, passes), ", ".join(f"{c} long" for c in [*pair, "n"])).groupBy(*pair).agg(F.sum("n").alias("n"))
-                found = space.save(found.where(F.col("n") >= min_count), "pairs")
+                with _few_at_once(found.sparkSession):
+                    found = space.save(found.where(F.col("n") >= min_count), "pairs")
                 out = found if out is None else out.unionByName(found)
             return out.mapInArrow(_spelled(trie, size, whole), schema)
 
@@ -344,7 +360,9 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
 
     def count(trie, whole: bool) -> DataFrame:
         total = shards.mapInArrow(_counted(trie, max_words), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-        return space.save(total, "sums").mapInArrow(_spelled(trie), schema)
+        with _few_at_once(total.sparkSession):
+            total = space.save(total, "sums")
+        return total.mapInArrow(_spelled(trie), schema)
 
     # a candidate is in one trie
     counted = space.save(_passes(candidates, max_words, count, space).select(*cols, F.col("n").alias("a")), "counted")
