@@ -21,13 +21,19 @@ NATURAL_KEY = ["mmsi", "ts_utc", "lat", "lon"]
 VESSEL_TEXTS = ["imo", "name", "callsign", "ship_type", "cargo_type", "position_fixing_device"]
 VESSEL_ATTRIBUTES = [*VESSEL_TEXTS, "length_m", "width_m"]
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+#: A parsed record, after where it stands and why it could not be parsed.
+RECORD_COLUMNS = [
+    "mmsi", "ts_utc", "lat", "lon", "sog_kn", "cog", "heading", "type_of_mobile", "nav_status", "rot", "draught_m", "destination", "eta_utc",
+    "imo", "name", "callsign", "ship_type", "cargo_type", "position_fixing_device", "length_m", "width_m",
+]
 POSITION_COLUMNS = ["mmsi", "ts_utc", "lat", "lon", "sog_kn", "cog", "heading", "nav_status", "rot", "draught_m", "destination", "eta_utc", "quality_flags", "ingest_run_id", "source_line"]
 
 
 def number(text: Column) -> Column:
     """A plain decimal number, or null; what only one engine's parser takes (NaN, Infinity, 1d) is refused."""
     value = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    # a lambda, so that the text is matched and read once
+    return F.get(F.transform(F.array(value), lambda v: F.when(F.abs(v) < float("inf"), v)), F.lit(0))
 
 
 def feed_time(text: Column) -> Column:
@@ -35,28 +41,37 @@ def feed_time(text: Column) -> Column:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Typed records from (source_file, source_line, raw_text, fields array<string>); parse_failure has the first reason why not."""
-
-    def f(name: str) -> Column:
-        return F.get(F.col("fields"), FEED_COLUMNS.index(name))
-
-    ts, mmsi = feed_time(f("Timestamp")), F.when(f("MMSI").rlike(r"^\d+$"), f("MMSI").try_cast("bigint"))
-    lat, lon = number(f("Latitude")), number(f("Longitude"))
-    failure = (
-        F.when(F.size("fields") != len(FEED_COLUMNS), F.format_string("expected %d fields, found %d", F.lit(len(FEED_COLUMNS)), F.size("fields")))
-        .when(ts.isNull(), "unreadable timestamp")
-        .when(mmsi.isNull(), "unreadable MMSI")
-        .when(lat.isNull(), "unreadable latitude")
-        .when(lon.isNull(), "unreadable longitude")
-    )
-    return lines.select(
-        "source_file", "source_line", "raw_text", failure.alias("parse_failure"),
-        mmsi.alias("mmsi"), ts.alias("ts_utc"), lat.alias("lat"), lon.alias("lon"), number(f("SOG")).alias("sog_kn"), number(f("COG")).alias("cog"), number(f("Heading")).alias("heading"),
-        f("Type of mobile").alias("type_of_mobile"), f("Navigational status").alias("nav_status"), number(f("ROT")).alias("rot"), number(f("Draught")).alias("draught_m"),
-        known_text(f("Destination")).alias("destination"), feed_time(f("ETA")).alias("eta_utc"),
-        known_text(f("IMO")).alias("imo"), known_text(f("Name")).alias("name"), known_text(f("Callsign")).alias("callsign"), known_text(f("Ship type")).alias("ship_type"), known_text(f("Cargo type")).alias("cargo_type"),
-        known_text(f("Type of position fixing device")).alias("position_fixing_device"), number(f("Length")).alias("length_m"), number(f("Width")).alias("width_m"),
-    )
+    """Typed records from (source_file, source_line, raw_text, fields array<string>); parse_failure has the first reason why not.
+
+    A line's fields are read once, in a lambda: as plain columns the record makes one method of generated code too long to
+    be compiled. inline keeps later filters behind it, which would else repeat the record's expressions.
+    """
+
+    def typed(v: Column) -> Column:
+        def f(name: str) -> Column:
+            return F.get(v, F.lit(FEED_COLUMNS.index(name)))
+
+        mmsi = F.when(f("MMSI").rlike(r"^\d+$"), f("MMSI").try_cast("bigint"))
+        values = {
+            "n": F.size(v), "mmsi": mmsi, "ts_utc": feed_time(f("Timestamp")), "lat": number(f("Latitude")), "lon": number(f("Longitude")), "sog_kn": number(f("SOG")), "cog": number(f("COG")), "heading": number(f("Heading")),
+            "type_of_mobile": f("Type of mobile"), "nav_status": f("Navigational status"), "rot": number(f("ROT")), "draught_m": number(f("Draught")),
+            "destination": known_text(f("Destination")), "eta_utc": feed_time(f("ETA")),
+            "imo": known_text(f("IMO")), "name": known_text(f("Name")), "callsign": known_text(f("Callsign")), "ship_type": known_text(f("Ship type")), "cargo_type": known_text(f("Cargo type")),
+            "position_fixing_device": known_text(f("Type of position fixing device")), "length_m": number(f("Length")), "width_m": number(f("Width")),
+        }
+        return F.struct(*[c.alias(name) for name, c in values.items()])
+
+    def record(r: Column) -> Column:
+        failure = (
+            F.when(r["n"] != len(FEED_COLUMNS), F.format_string("expected %d fields, found %d", F.lit(len(FEED_COLUMNS)), r["n"]))
+            .when(r["ts_utc"].isNull(), "unreadable timestamp")
+            .when(r["mmsi"].isNull(), "unreadable MMSI")
+            .when(r["lat"].isNull(), "unreadable latitude")
+            .when(r["lon"].isNull(), "unreadable longitude")
+        )
+        return F.struct(failure.alias("parse_failure"), *[r[c].alias(c) for c in RECORD_COLUMNS])
+
+    return lines.select("source_file", "source_line", "raw_text", F.inline(F.transform(F.transform(F.array("fields"), typed), record)))
 
 
 def merge_identity(records: DataFrame) -> DataFrame:

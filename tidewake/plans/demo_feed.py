@@ -56,7 +56,9 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ETA": F.when(e % 3 == 0, none).otherwise(F.date_format(F.timestamp_seconds(F.lit(1704067200) + minutes * 60 + (e % 400) * 86400), form)),
     }
     fields = F.array(*[F.coalesce(values[c], none) if c in values else none for c in FEED_COLUMNS])
-    fields = F.when(e % 911 == 0, F.slice(fields, 1, 25)).otherwise(fields)
+    fields = F.slice(fields, F.lit(1), F.when(e % 911 == 0, 25).otherwise(len(FEED_COLUMNS)))
+    # in a lambda, for as a plain column the array is a method of generated code too long to be compiled
+    fields = F.get(F.transform(F.array(F.lit(0)), lambda _: fields), F.lit(0))
     day = F.when(rn < 50, "day1.csv").otherwise("day2.csv")
     copies = F.filter(
         F.array(
