@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _micro(c: Column) -> Column:
-    """Millionths as a decimal text."""
-    return (c.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(8,0)")).cast("decimal(20,6)").cast("string")
+def _pointed(name: str, digits: int) -> Column:
+    """A column of integers as decimal texts, of which the last digits stand behind the point."""
+    size, unit = F.abs(name), 10**digits
+    return F.concat(F.when(F.col(name) < 0, "-").otherwise(""), F.expr(f"abs({name}) div {unit}").cast("string"), F.lit("."), F.lpad((size % unit).cast("string"), digits, "0"))
 
 
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +34,12 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ev.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment"), "user_id", "left")
     e, u, rn = F.col("event_id"), F.col("user_id"), F.col("rn")
     minutes = rn * 10 + F.expr("rn div 17") * 90 + F.expr("rn div 34") * 720
-    ts = F.timestamp_seconds(F.lit(1704067200) + minutes * 60)
     step = F.when(F.expr("(rn div 12) % 2 = 0"), 2).otherwise(300)
     lat = F.when(e % 499 == 0, 91_000_000).otherwise(55_000_000 + (u % 40) * 50_000 + (e % 11) * step + F.expr("rn div 24") * 400_000 + F.when(e % 211 == 0, 500_000).otherwise(0))
     lon = F.when(e % 499 == 0, 0).otherwise(10_000_000 + (u % 37) * 80_000 + (e % 11) * step)
     sog = F.when(e % 13 == 0, None).when(e % 997 == 0, 415).when(F.expr("(rn div 6) % 2 = 0"), e % 5).otherwise(10 + (e % 60) * 5)
+    draught = F.when(e % 7 != 0, 100 + F.expr("(rn div 30) % 4") * 6)
+    ev = ev.withColumns({"_lat": lat, "_lon": lon, "_sog": sog, "_cog": e % 3600, "_draught": draught, "_seconds": F.lit(1704067200) + minutes * 60})
     form = "dd/MM/yyyy HH:mm:ss"
     none = F.lit("")
 
@@ -47,13 +49,13 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.when(c == k, v).otherwise(out)
         return out
 
-    tenth = lambda c: F.coalesce((c.cast("decimal(20,0)") / F.lit(10).cast("decimal(3,0)")).cast("decimal(20,1)").cast("string"), none)
+    tenth = lambda c: F.coalesce(_pointed(c, 1), none)
     values = {
-        "Timestamp": F.when(e % 701 == 0, "not a time").otherwise(F.date_format(ts, form)), "Type of mobile": F.lit("Class A"), "MMSI": F.when(e % 883 == 0, "MMSI").otherwise((u + 200_000_000).cast("string")), "Latitude": _micro(lat), "Longitude": _micro(lon),
-        "Navigational status": mapped(F.col("event_type"), STATUSES, "Unknown value"), "SOG": tenth(sog), "COG": tenth(e % 3600), "Name": F.when(e % 5 == 0, F.concat(F.lit("VESSEL "), u.cast("string"))).otherwise("Unknown"),
+        "Timestamp": F.when(e % 701 == 0, "not a time").otherwise(F.date_format(F.timestamp_seconds("_seconds"), form)), "Type of mobile": F.lit("Class A"), "MMSI": F.when(e % 883 == 0, "MMSI").otherwise((u + 200_000_000).cast("string")), "Latitude": _pointed("_lat", 6), "Longitude": _pointed("_lon", 6),
+        "Navigational status": mapped(F.col("event_type"), STATUSES, "Unknown value"), "SOG": tenth("_sog"), "COG": tenth("_cog"), "Name": F.when(e % 5 == 0, F.concat(F.lit("VESSEL "), u.cast("string"))).otherwise("Unknown"),
         "Ship type": F.when(e % 4 == 0, "Undefined").otherwise(mapped(F.coalesce("c_mktsegment", none), SHIP_TYPES, "Undefined")), "Length": F.when(e % 6 == 0, (100 + u % 200).cast("string")).otherwise(none),
-        "Draught": F.when(e % 7 == 0, none).otherwise(tenth(100 + F.expr("(rn div 30) % 4") * 6)), "Destination": F.when(F.col("k") % 7 == 6, "Unknown").otherwise(F.get(F.array(*[F.lit(d) for d in DESTINATIONS]), F.col("k") % 7)),
-        "ETA": F.when(e % 3 == 0, none).otherwise(F.date_format(F.timestamp_seconds(F.lit(1704067200) + minutes * 60 + (e % 400) * 86400), form)),
+        "Draught": tenth("_draught"), "Destination": F.when(F.col("k") % 7 == 6, "Unknown").otherwise(F.get(F.array(*[F.lit(d) for d in DESTINATIONS]), F.col("k") % 7)),
+        "ETA": F.when(e % 3 == 0, none).otherwise(F.date_format(F.timestamp_seconds(F.col("_seconds") + (e % 400) * 86400), form)),
     }
     fields = F.array(*[F.coalesce(values[c], none) if c in values else none for c in FEED_COLUMNS])
     fields = F.slice(fields, F.lit(1), F.when(e % 911 == 0, 25).otherwise(len(FEED_COLUMNS)))

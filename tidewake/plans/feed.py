@@ -11,6 +11,7 @@ from ..operators.annotate import annotate
 from ..operators.ingest import IngestResult, parse, settle
 from ..operators.rules import judge
 from ..operators.stops import detect_stops
+from ..sources.feed import with_fields
 from ..sources.staging import Staging
 from .demo_feed import SQL_FEED, feed_lines, gazetteer
 
@@ -43,7 +44,8 @@ class Feed:
         return self._made[name]
 
     def lines(self) -> DataFrame:
-        return self._once("lines", lambda: feed_lines(self.spark, self.sf_dir))
+        # a line's text is kept, and its fields are split from it wherever they are read
+        return with_fields(self._once("lines", lambda: feed_lines(self.spark, self.sf_dir).drop("fields")))
 
     def records(self) -> DataFrame:
         return parse(self.lines())
