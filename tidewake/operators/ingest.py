@@ -30,10 +30,8 @@ POSITION_COLUMNS = ["mmsi", "ts_utc", "lat", "lon", "sog_kn", "cog", "heading",
 
 
 def number(text: Column) -> Column:
-    """A plain decimal number, or null; what only one engine's parser takes (NaN, Infinity, 1d) is refused."""
-    value = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-    # a lambda, so that the text is matched and read once
-    return F.get(F.transform(F.array(value), lambda v: F.when(F.abs(v) < float("inf"), v)), F.lit(0))
+    """A plain decimal number, or null; what only one engine's parser takes (NaN, Infinity, 1d) is refused. What is too large for a double comes out infinite."""
+    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
 def feed_time(text: Column) -> Column:
@@ -43,35 +41,36 @@ def feed_time(text: Column) -> Column:
 def parse(lines: DataFrame) -> DataFrame:
     """Typed records from (source_file, source_line, raw_text, fields array<string>); parse_failure has the first reason why not.
 
-    A line's fields are read once, in a lambda: as plain columns the record makes one method of generated code too long to
-    be compiled. inline keeps later filters behind it, which would else repeat the record's expressions.
+    A line's fields are read once, as compiled columns in two parts: all of them in one projection make a method of
+    generated code too long to be compiled. inline keeps later filters behind it, which would else repeat the record's
+    expressions; it is the outer one, as for the plain one Spark adds a filter that makes the record once more.
     """
 
-    def typed(v: Column) -> Column:
-        def f(name: str) -> Column:
-            return F.get(v, F.lit(FEED_COLUMNS.index(name)))
-
-        mmsi = F.when(f("MMSI").rlike(r"^\d+$"), f("MMSI").try_cast("bigint"))
-        values = {
-            "n": F.size(v), "mmsi": mmsi, "ts_utc": feed_time(f("Timestamp")), "lat": number(f("Latitude")), "lon": number(f("Longitude")), "sog_kn": number(f("SOG")), "cog": number(f("COG")), "heading": number(f("Heading")),
-            "type_of_mobile": f("Type of mobile"), "nav_status": f("Navigational status"), "rot": number(f("ROT")), "draught_m": number(f("Draught")),
-            "destination": known_text(f("Destination")), "eta_utc": feed_time(f("ETA")),
-            "imo": known_text(f("IMO")), "name": known_text(f("Name")), "callsign": known_text(f("Callsign")), "ship_type": known_text(f("Ship type")), "cargo_type": known_text(f("Cargo type")),
-            "position_fixing_device": known_text(f("Type of position fixing device")), "length_m": number(f("Length")), "width_m": number(f("Width")),
-        }
-        return F.struct(*[c.alias(name) for name, c in values.items()])
-
-    def record(r: Column) -> Column:
-        failure = (
-            F.when(r["n"] != len(FEED_COLUMNS), F.format_string("expected %d fields, found %d", F.lit(len(FEED_COLUMNS)), r["n"]))
-            .when(r["ts_utc"].isNull(), "unreadable timestamp")
-            .when(r["mmsi"].isNull(), "unreadable MMSI")
-            .when(r["lat"].isNull(), "unreadable latitude")
-            .when(r["lon"].isNull(), "unreadable longitude")
-        )
-        return F.struct(failure.alias("parse_failure"), *[r[c].alias(c) for c in RECORD_COLUMNS])
-
-    return lines.select("source_file", "source_line", "raw_text", F.inline(F.transform(F.transform(F.array("fields"), typed), record)))
+    def f(name: str) -> Column:
+        return F.get("fields", F.lit(FEED_COLUMNS.index(name)))
+
+    numbers = {
+        "lat": number(f("Latitude")), "lon": number(f("Longitude")), "sog_kn": number(f("SOG")), "cog": number(f("COG")), "heading": number(f("Heading")), "rot": number(f("ROT")), "draught_m": number(f("Draught")), "length_m": number(f("Length")), "width_m": number(f("Width")),
+    }
+    others = {
+        "n": F.size("fields"), "mmsi": F.when(f("MMSI").rlike(r"^\d+$"), f("MMSI").try_cast("bigint")), "ts_utc": feed_time(f("Timestamp")), "type_of_mobile": f("Type of mobile"), "nav_status": f("Navigational status"),
+        "destination": known_text(f("Destination")), "eta_utc": feed_time(f("ETA")), "imo": known_text(f("IMO")), "name": known_text(f("Name")), "callsign": known_text(f("Callsign")),
+        "ship_type": known_text(f("Ship type")), "cargo_type": known_text(f("Cargo type")), "position_fixing_device": known_text(f("Type of position fixing device")),
+    }
+    line = ["source_file", "source_line", "raw_text"]
+    df = lines.select(*line, "fields")
+    for part, left in ((numbers, ["fields"]), (others, list(numbers))):
+        df = df.withColumn("_part", F.array(F.struct(*[c.alias(name) for name, c in part.items()])))
+        df = df.select(*line, *left, F.inline_outer("_part"))
+    df = df.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in numbers})
+    failure = (
+        F.when(F.col("n") != len(FEED_COLUMNS), F.format_string("expected %d fields, found %d", F.lit(len(FEED_COLUMNS)), F.col("n")))
+        .when(F.col("ts_utc").isNull(), "unreadable timestamp")
+        .when(F.col("mmsi").isNull(), "unreadable MMSI")
+        .when(F.col("lat").isNull(), "unreadable latitude")
+        .when(F.col("lon").isNull(), "unreadable longitude")
+    )
+    return df.select(*line, failure.alias("parse_failure"), *RECORD_COLUMNS)
 
 
 def merge_identity(records: DataFrame) -> DataFrame:
