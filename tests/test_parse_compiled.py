@@ -6,6 +6,7 @@ import re
 
 from tests.test_parse_plan import lines
 from tidewake.operators.ingest import parse
+from tidewake.plans.demo_feed import feed_lines
 
 #: Bytes of a method that the JIT still compiles.
 JIT_LIMIT = 8000
@@ -32,3 +33,13 @@ def test_records_are_compiled(spark):
 def test_records_are_made_once(spark):
     plan = parse(lines(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan and "lambda" not in plan.split("Generate", 1)[1].split("\n")[0]
+
+
+def test_derived_lines_are_compiled(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whose plans have no code before they run
+    try:
+        found = stages(spark, feed_lines(spark, "/root/testdata/sf0.001").drop("fields"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(size for size, _ in found) < JIT_LIMIT
+    assert sum(plan.count("Generate inline(_part") for _, plan in found) >= 3

@@ -57,10 +57,13 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Draught": tenth("_draught"), "Destination": F.when(F.col("k") % 7 == 6, "Unknown").otherwise(F.get(F.array(*[F.lit(d) for d in DESTINATIONS]), F.col("k") % 7)),
         "ETA": F.when(e % 3 == 0, none).otherwise(F.date_format(F.timestamp_seconds(F.col("_seconds") + (e % 400) * 86400), form)),
     }
-    fields = F.array(*[F.coalesce(values[c], none) if c in values else none for c in FEED_COLUMNS])
+    # made in parts behind inline, for all in one projection are a method of generated code too long to be compiled
+    names = list(values)
+    for part in (names[:4], names[4:7], names[7:]):
+        ev = ev.withColumn("_part", F.array(F.struct(*[F.coalesce(values[c], none).alias(c) for c in part])))
+        ev = ev.select(*[c for c in ev.columns if c != "_part"], F.inline_outer("_part"))
+    fields = F.array(*[F.col(c) if c in values else none for c in FEED_COLUMNS])
     fields = F.slice(fields, F.lit(1), F.when(e % 911 == 0, 25).otherwise(len(FEED_COLUMNS)))
-    # in a lambda, for as a plain column the array is a method of generated code too long to be compiled
-    fields = F.get(F.transform(F.array(F.lit(0)), lambda _: fields), F.lit(0))
     day = F.when(rn < 50, "day1.csv").otherwise("day2.csv")
     copies = F.filter(
         F.array(
