@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import elapsed_s, haversine_nm
+from ..sources.staging import Staging
 from .annotate import ORDER, annotate, flag_both
 from .rules import PairRule, pair_rules, position_unreliable, with_distance
 from .stops import detect_stops, finish_stops, stop_figures
@@ -128,13 +129,20 @@ def stops_of_marks(marked: DataFrame, th: Thresholds = Thresholds()) -> DataFram
     return finish_stops(stops, th)
 
 
-def annotate_and_detect(log: DataFrame, th: Thresholds = Thresholds(), rules: list[PairRule] | None = None, *, chunk_rows: int = CHUNK_ROWS, bucket_s: int = BUCKET_S) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(flagged fixes, hits by rule, stops). Vessels of more than chunk_rows fixes are scanned in chunks, all others by one window each."""
+def annotate_and_detect(log: DataFrame, th: Thresholds = Thresholds(), rules: list[PairRule] | None = None, *, chunk_rows: int = CHUNK_ROWS, bucket_s: int = BUCKET_S, staging: Staging | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(flagged fixes, hits by rule, stops). Vessels of more than chunk_rows fixes are scanned in chunks, all others by one window each.
+
+    With a staging, chunked, flagged and marked fixes are written once each; every step reads the one before it several
+    times, so without one their work is multiplied along the way.
+    """
+    once = staging.save if staging is not None else lambda df, _: df
     hot = log.groupBy("mmsi").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).select("mmsi")
     if hot.isEmpty():
         fixes, hits = annotate(log, rules)
         return fixes, hits, detect_stops(fixes, th)
     cold, hits = annotate(log.join(hot, "mmsi", "left_anti"), rules)
-    wide, more = annotate_chunks(chunk_tracks(log.join(hot, "mmsi", "left_semi"), chunk_rows, bucket_s), rules)
+    wide, more = annotate_chunks(once(chunk_tracks(log.join(hot, "mmsi", "left_semi"), chunk_rows, bucket_s), "chunked"), rules)
+    wide = once(wide, "flagged")
+    marked = once(mark_stops_chunks(wide, th), "marked")
     hits = hits.unionByName(more).groupBy("rule_id").agg(F.sum("hits").alias("hits"))
-    return cold.unionByName(wide.drop("chunk")), hits, detect_stops(cold, th).unionByName(detect_stops_chunks(wide, th))
+    return cold.unionByName(wide.drop("chunk")), hits, detect_stops(cold, th).unionByName(stops_of_marks(marked, th))

@@ -50,7 +50,8 @@ def _stop_columns(s: DataFrame) -> DataFrame:
 @query(f"SELECT {_STOP_COLUMNS} FROM stops")
 def stops_by_chunks(spark, sf_dir):
     """The stops of all vessels, every track cut into chunks of a dozen fixes."""
-    return _stop_columns(annotate_and_detect(Feed(spark, sf_dir).log(), chunk_rows=12)[2])
+    f = Feed(spark, sf_dir)
+    return _stop_columns(annotate_and_detect(f.log(), chunk_rows=12, staging=f.staging)[2])
 
 
 def shared_number_scan(spark, sf_dir):

@@ -266,7 +266,7 @@ class Store:
         """Flags, stops, calls and phases anew from the log; running it twice changes nothing. Tracks of more than chunk_rows fixes are scanned in chunks."""
         self.clean()
         change = self.manifest()
-        change = self.with_table(change, "stop_event", annotate_and_detect(self._positions(change), th, chunk_rows=chunk_rows)[2])
+        change = self.with_table(change, "stop_event", annotate_and_detect(self._positions(change), th, chunk_rows=chunk_rows, staging=Staging(self.spark, "detect", f"{self.root}/_staging/detect"))[2])
         calls, phases = chain_port_calls(self._table(change, "stop_event"), ports, th)
         change = self.with_table(change, "port_call", calls)
         change = self.with_table(change, "port_call_phase", phases)
