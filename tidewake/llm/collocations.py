@@ -26,6 +26,8 @@ PAIR_SHARDS = 6
 SHARDS = 3
 #: Phrases of a trie. More are dealt to several, by hash, each with a pass of its own.
 BLOCK = 1_000_000
+#: Bases that are drawn for a node of a trie before there are new slots for it.
+DRAWS = 32
 #: Parts of a language's candidates whose best are found first.
 SALTS = 32
 _BREAK = b"\n"
@@ -111,7 +113,10 @@ class DoubleArray:
         self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
 
     def _place(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """States of edges (sorted by parent and symbol): bases are drawn at random, those of the largest nodes first, until no two edges share a slot."""
+        """States of edges (sorted by parent and symbol): bases are drawn at random, those of the largest nodes first, until no two edges share a slot.
+
+        Nodes that find no base in so many draws get new slots behind all others.
+        """
         nodes, begin, degree = np.unique(parents, return_index=True, return_counts=True)
         a, rng = len(self.alphabet), np.random.default_rng(len(parents))
         states = np.full(len(parents), -1, np.int64)
@@ -120,13 +125,13 @@ class DoubleArray:
         taken = self.check >= 0
         taken[:a] = True
 
-        def settle(which: np.ndarray) -> np.ndarray:
-            """Tries a base for each node; returns the nodes without luck."""
+        def settle(which: np.ndarray, start: int = a) -> np.ndarray:
+            """Tries a base for each node, with its slots from start on; returns the nodes without luck."""
             edge = np.repeat(begin[which] - degree[which].cumsum() + degree[which], degree[which]) + np.arange(degree[which].sum())
             owner = np.repeat(np.arange(len(which)), degree[which])
             low = symbols[begin[which]]
             high = symbols[begin[which] + degree[which] - 1]
-            base = a - low + (rng.random(len(which)) * (len(taken) - a - (high - low))).astype(np.int64)
+            base = start - low + (rng.random(len(which)) * (len(taken) - start - (high - low))).astype(np.int64)
             slots = base[owner] + symbols[edge]
             first = np.zeros(len(slots), bool)
             first[np.unique(slots, return_index=True)[1]] = True
@@ -142,7 +147,7 @@ class DoubleArray:
         order = np.argsort(-degree, kind="stable")
         large = order[: int((degree > 32).sum())]
         for node in large:
-            for _ in range(32):
+            for _ in range(DRAWS):
                 if not len(settle(np.asarray([node]))):
                     break
             else:  # behind all others
@@ -155,9 +160,14 @@ class DoubleArray:
                 taken[states[edge]] = True
                 self.check[states[edge]] = nodes[node]
                 self.base[nodes[node]] = base
-        rest = order[len(large) :]
+        rest, start = order[len(large) :], a
         while len(rest):
-            rest = settle(rest)
+            for _ in range(DRAWS):
+                rest = settle(rest, start)
+            start, more = len(self.check), a + 4 * int(degree[rest].sum())
+            if len(rest):
+                self._grow(start + more)
+                taken = np.concatenate([taken, np.zeros(more, bool)])
         return states
 
     def symbols(self, keys: np.ndarray) -> np.ndarray:
