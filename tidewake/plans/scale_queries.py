@@ -20,6 +20,8 @@ from .queries import _r, _s, demo_documents
 from .store_queries import _store
 
 
+#: Files of each of the streamed log's parts; a batch takes as many.
+ARRIVING_FILES = 16
 #: A third of the vessels share one number.
 SHARED = "CASE WHEN u % 3 = 0 THEN 999999999 ELSE 200000000 + u END AS mmsi"
 
@@ -111,8 +113,8 @@ def streamed_stops(spark, sf_dir):
     for day in (1, 2, 3):  # the last takes all later days
         since = F.floor((_s("ts_utc") - 1704067200) / 43200)
         part = log.where(since < 1 if day == 1 else since == 1 if day == 2 else since > 1)
-        part.coalesce(1).write.mode("append").parquet(path)
-    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(ARRIVING_FILES).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", ARRIVING_FILES).parquet(path)
     state = StopState(spark, f"{f.staging.root}/stop-state", buckets=8)
     arriving.writeStream.foreachBatch(state.update).option("checkpointLocation", f"{f.staging.root}/arriving-at").trigger(availableNow=True).start().awaitTermination()
     return _stop_columns(state.stops())
