@@ -31,7 +31,8 @@ POSITION_COLUMNS = ["mmsi", "ts_utc", "lat", "lon", "sog_kn", "cog", "heading",
 
 def number(text: Column) -> Column:
     """A plain decimal number, or null; what only one engine's parser takes (NaN, Infinity, 1d) is refused. What is too large for a double comes out infinite."""
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    # most fields of a line are empty; those need no matcher
+    return F.when((text != "") & text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
 def feed_time(text: Column) -> Column:
@@ -117,6 +118,17 @@ def _known(accepted: DataFrame, log: DataFrame) -> DataFrame:
     return accepted.join(old, (F.col("mmsi") == F.col("_mmsi")) & (F.col("ts_utc") == F.col("_ts")) & same_place, "left").drop("_mmsi", "_ts", "_lat", "_lon")
 
 
+def settle_runs(judged: DataFrame, run: Column) -> DataFrame:
+    """Positions of several runs into an empty log, equal to settle() run after run: of each natural key the first by run, file and line stays.
+
+    The log is dealt once, where every run after the first deals what the runs before have stored anew.
+    """
+    accepted = judged.where("reject IS NULL").withColumn("ingest_run_id", run.cast("bigint"))
+    w = Window.partitionBy(*NATURAL_KEY).orderBy("ingest_run_id", "source_file", "source_line")
+    # not by a rank, for whose first place Spark would sort before the shuffle too, and few lines are copies
+    return accepted.withColumn("_again", F.lag(F.lit(True)).over(w)).where("_again IS NULL").select(*POSITION_COLUMNS)
+
+
 def settle(judged: DataFrame, log: DataFrame | None = None, vessels: DataFrame | None = None, *, run_id: int = 1, ship_type: str | None = None, log_buckets: int | None = None, observed: tuple[Observation, Observation] | None = None) -> IngestResult:
     """One run over judged rows. Every line falls in exactly one of filtered, quarantined, dup_in_file, dup_prior_run and inserted.
 

@@ -21,12 +21,13 @@ class RowRule:
     description: str
     cases: Callable[[], list[tuple[Column, str, Column]]]
 
-    def hit(self) -> Column:
+    def hits(self) -> Column:
+        """A list of the hit alone, or an empty one."""
         out = None
         for when, action, detail in self.cases():
-            value = F.struct(F.lit(self.id).alias("rule_id"), F.lit(action).alias("action"), detail.alias("detail"))
+            value = F.array(F.struct(F.lit(self.id).alias("rule_id"), F.lit(action).alias("action"), detail.alias("detail")))
             out = F.when(when, value) if out is None else out.when(when, value)
-        return out
+        return out.otherwise(F.array().cast("array<struct<rule_id: string, action: string, detail: string>>"))
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,8 @@ def position_unreliable(flags="quality_flags") -> Column:
 def judge(records: DataFrame, rules: list[RowRule] | None = None) -> DataFrame:
     """Adds hits (all rules that fire, in order), reject (the first rejection) and quality_flags (ids of flags)."""
     rules = rules if rules is not None else row_rules()
-    df = records.withColumn("hits", F.array_compact(F.array(*[r.hit() for r in rules])))
+    # lists strung together are compiled; a filter of one list would interpret all rules within it
+    df = records.withColumn("hits", F.concat(*[r.hits() for r in rules]))
     df = df.withColumn("reject", F.get(F.filter("hits", lambda h: h["action"] == "Reject"), F.lit(0)))
     return df.withColumn("quality_flags", F.transform(F.filter("hits", lambda h: h["action"] == "Flag"), lambda h: h["rule_id"]))
 

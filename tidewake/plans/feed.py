@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import calls as C
 from ..operators.annotate import annotate
-from ..operators.ingest import IngestResult, parse, settle
+from ..operators.ingest import IngestResult, parse, settle, settle_runs
 from ..operators.rules import judge
 from ..operators.stops import detect_stops
 from ..sources.feed import with_fields
@@ -59,9 +60,11 @@ class Feed:
         return one, settle(judged.where("source_file = 'day2.csv'"), one.positions, one.vessels, run_id=2, ship_type=ship_type)
 
     def log(self) -> DataFrame:
+        """Positions of both runs. Judged rows that no other stage has asked for yet are not written; a query on vessels too asks for these first."""
+
         def make() -> DataFrame:
-            one, two = self.runs()
-            return one.positions.unionByName(two.positions)
+            judged = self.judged() if "judged" in self._made else judge(self.records())
+            return settle_runs(judged, F.when(F.col("source_file") == "day1.csv", 1).otherwise(2))
 
         return self._once("log", make)
 

@@ -131,8 +131,9 @@ def nested_calls(spark, sf_dir):
 @_query("SELECT v.mmsi, count(c.arrived) AS calls, coalesce(sum(c.n), 0) AS phases FROM vessels v LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY arrived DESC) AS k FROM calls) WHERE k <= 2) c ON c.mmsi = v.mmsi GROUP BY v.mmsi")
 def nested_vessels(spark, sf_dir):
     f = Feed(spark, sf_dir)
+    v = f.vessels()
     c, p = f.calls()
-    n = C.nest_vessels(f.vessels(), c, p, per_vessel=2)
+    n = C.nest_vessels(v, c, p, per_vessel=2)
     calls = F.coalesce(F.size("port_calls"), F.lit(0))
     return n.select("mmsi", F.greatest(calls, F.lit(0)).cast("bigint").alias("calls"), F.coalesce(F.aggregate("port_calls", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x["phases"])), F.lit(0).cast("bigint")).alias("phases"))
 
@@ -167,7 +168,8 @@ def fix_status(spark, sf_dir):
 @_query("SELECT mmsi, count(*) AS calls FROM calls WHERE mmsi % 3 = 0 GROUP BY mmsi")
 def call_counts(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    return R.call_counts(f.calls()[0], f.vessels().where("mmsi % 3 = 0"))
+    v = f.vessels()
+    return R.call_counts(f.calls()[0], v.where("mmsi % 3 = 0"))
 
 
 @_query("SELECT mmsi, count(*) AS calls FROM calls GROUP BY mmsi")
@@ -276,7 +278,8 @@ _RECORDS = """, records AS (SELECT coalesce(a.mmsi, d.mmsi) AS mmsi, coalesce(a.
 
 def _records(spark, sf_dir) -> DataFrame:
     f = Feed(spark, sf_dir)
-    return R.vessel_records(f.stops(), f.fixes(), f.vessels())
+    v = f.vessels()
+    return R.vessel_records(f.stops(), f.fixes(), v)
 
 
 @_query(_RECORDS + " SELECT * FROM records")
@@ -360,7 +363,8 @@ _FLEET = """, recent AS (SELECT f.*, s.started AS st, s.agrees AS ag FROM fixes
 
 def _fleet(spark, sf_dir) -> DataFrame:
     f = Feed(spark, sf_dir)
-    return fleet_state(f.fixes(), f.stops(), f.vessels(), "2024-01-01 06:00:00")
+    v = f.vessels()
+    return fleet_state(f.fixes(), f.stops(), v, "2024-01-01 06:00:00")
 
 
 @_query(_FLEET + " SELECT mmsi, lat, lon, state, trail, heard AS heard_s FROM fleet")
@@ -382,8 +386,9 @@ _LOG = """, keyed AS (SELECT *, run * 100000000 + source_line AS key, lag(r12, 1
 
 def _log_of(spark, sf_dir) -> DataFrame:
     f = Feed(spark, sf_dir)
+    v = f.vessels()
     c, p = f.calls()
-    return ships_log(f.fixes(), f.stops(), c, p, f.vessels())
+    return ships_log(f.fixes(), f.stops(), c, p, v)
 
 
 @_query(_LOG + " SELECT mmsi, ts AS ts_s, kind, '[r' || run || '·L' || source_line || ']' AS citation FROM log_entries")
