@@ -276,15 +276,14 @@ _RECORDS = """, records AS (SELECT coalesce(a.mmsi, d.mmsi) AS mmsi, coalesce(a.
   (SELECT mmsi, count(*) FILTER (r12) AS lapses, count(*) AS total, max(sog) FILTER (r12) AS fastest FROM fixes GROUP BY mmsi HAVING count(*) FILTER (r12) > 0) d ON a.mmsi = d.mmsi)"""
 
 
-def _records(spark, sf_dir) -> DataFrame:
-    f = Feed(spark, sf_dir)
+def _records(f: Feed) -> DataFrame:
     v = f.vessels()
     return R.vessel_records(f.stops(), f.fixes(), v)
 
 
 @_query(_RECORDS + " SELECT * FROM records")
 def vessel_records(spark, sf_dir):
-    return _records(spark, sf_dir).select("mmsi", "arrival_lapses", "total_stops", "departure_lapses", "total_fixes", "fastest_kn")
+    return _records(Feed(spark, sf_dir)).select("mmsi", "arrival_lapses", "total_stops", "departure_lapses", "total_fixes", "fastest_kn")
 
 
 @_query("SELECT count(*) AS vessels_with_stops, count(*) FILTER (l > 0) AS vessels_with_lapses, round(sum(h), 6) AS hours_claiming_under_way, count(*) FILTER (n >= 3 AND l = n) AS always_wrong, count(*) FILTER (n >= 3 AND l = 0) AS always_right FROM (SELECT mmsi, count(*) AS n, count(*) FILTER (NOT agrees) AS l, sum(CASE WHEN agrees THEN 0 ELSE hours END) AS h FROM stops GROUP BY mmsi)")
@@ -294,7 +293,8 @@ def vessel_habits(spark, sf_dir):
 
 @_query(_RECORDS + " SELECT * FROM (SELECT 'share' AS board, mmsi, round(arrival_lapses / total_stops, 6) AS figure FROM records WHERE total_stops >= 3 ORDER BY arrival_lapses / total_stops DESC, mmsi LIMIT 5) UNION ALL SELECT * FROM (SELECT 'count', mmsi, arrival_lapses FROM records WHERE arrival_lapses > 0 ORDER BY arrival_lapses DESC, mmsi LIMIT 5) UNION ALL SELECT * FROM (SELECT 'speed', mmsi, fastest_kn FROM records WHERE fastest_kn > 0 ORDER BY fastest_kn DESC, mmsi LIMIT 5) UNION ALL SELECT * FROM (SELECT 'both', mmsi, arrival_lapses + departure_lapses FROM records WHERE arrival_lapses > 0 AND departure_lapses > 0 ORDER BY arrival_lapses + departure_lapses DESC, mmsi LIMIT 5)")
 def leaderboards(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    f = Feed(spark, sf_dir)
+    r = f.staging.save(_records(f), "records")  # every board reads them
     out = None
     for board in ("share", "count", "speed", "both"):
         b = R.leaderboard(r, board).select(F.lit(board).alias("board"), "mmsi", _r("figure").alias("figure"))
@@ -384,8 +384,7 @@ _LOG = """, keyed AS (SELECT *, run * 100000000 + source_line AS key, lag(r12, 1
   SELECT mmsi, ts, run, source_line, 'MovingClaimingStationary' FROM keyed WHERE r12 AND NOT prev12)"""
 
 
-def _log_of(spark, sf_dir) -> DataFrame:
-    f = Feed(spark, sf_dir)
+def _log_of(f: Feed) -> DataFrame:
     v = f.vessels()
     c, p = f.calls()
     return ships_log(f.fixes(), f.stops(), c, p, v)
@@ -393,13 +392,15 @@ def _log_of(spark, sf_dir) -> DataFrame:
 
 @_query(_LOG + " SELECT mmsi, ts AS ts_s, kind, '[r' || run || '·L' || source_line || ']' AS citation FROM log_entries")
 def ships_log_entries(spark, sf_dir):
-    return _log_of(spark, sf_dir).select("mmsi", _s("ts_utc").alias("ts_s"), "kind", "citation")
+    return _log_of(Feed(spark, sf_dir)).select("mmsi", _s("ts_utc").alias("ts_s"), "kind", "citation")
 
 
 @_query(_LOG + " SELECT mmsi * 10 + n AS narration_id, 1 AS sentences, CASE WHEN n = 1 THEN 0 ELSE 1 END AS problems, n = 1 AS accepted FROM (SELECT mmsi, min(ts) AS t FROM log_entries WHERE kind = 'StopEnded' GROUP BY mmsi), (SELECT unnest([1, 2, 3]) AS n)")
 def cited_text(spark, sf_dir):
     """Three narrations of each vessel's first ended stop: its own words, a wrong figure, and an unknown citation."""
-    log = _log_of(spark, sf_dir).where("kind = 'StopEnded'")
+    f = Feed(spark, sf_dir)
+    # read three times below, so written once
+    log = f.staging.save(_log_of(f).where("kind = 'StopEnded'"), "stops-ended")
     first = log.groupBy("mmsi").agg(F.min_by(F.struct("text", "citation"), "ts_utc").alias("e"))
     text = F.array(F.concat("e.text", F.lit(" "), "e.citation"), F.concat(F.lit("It waited 987654 h "), "e.citation", F.lit(".")), F.lit("It sailed [r9·L9]."))
     n = first.select("mmsi", F.posexplode(text).alias("i", "text")).select((F.col("mmsi") * 10 + F.col("i") + 1).alias("narration_id"), "text")
